@@ -136,7 +136,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     maps = materialise(keep_bitmaps(docs)).select(F.col("id").alias("gone_id"), "n_dropped", "keep_bitmap")
     sides = docs.select(F.col("doc_id").alias("id"), text_of("text").alias("text"))
-    joined = sides.join(maps, F.coalesce("id", F.lit(NO_ID)) == F.col("gone_id"), "left")
+    # always shuffled: the bitmaps grow with the corpus, and one plan at every size keeps its cost in proportion
+    joined = sides.hint("merge").join(maps, F.coalesce("id", F.lit(NO_ID)) == F.col("gone_id"), "left")
     return joined.select("id", "text", "keep_bitmap", F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped")).mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
