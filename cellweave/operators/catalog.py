@@ -9,6 +9,7 @@ import shutil
 import subprocess
 from collections.abc import Iterable, Sequence
 from pathlib import Path
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,12 +169,10 @@ def option_schema(spark: SparkSession, schemas: dict = OPTION_SCHEMAS) -> DataFr
 
 
 def option_schema_from_xml(spark: SparkSession, driver: str, xml: str) -> DataFrame:
-    """The same of a driver's CreationOptionList."""
-    doc = spark.createDataFrame([(xml,)], "x string")
-    one = doc.select(F.posexplode(F.xpath("x", F.lit("//Option/@name"))).alias("i", "name"), "x")
-    at = lambda a: F.expr(f"get(xpath(x, concat('//Option[@name=\"', name, '\"]/@{a}')), 0)")
-    values = F.expr("xpath(x, concat('//Option[@name=\"', name, '\"]/Value/text()'))")
-    return one.select(F.lit(driver).alias("driver"), "name", F.coalesce(at("type"), F.lit("string")).alias("type"), at("min").cast("double").alias("min"), at("max").cast("double").alias("max"), values.alias("values"))
+    """The same of a driver's CreationOptionList, a short text that is parsed where the driver runs."""
+    number = lambda x: None if x is None else float(x)
+    options = {o.get("name"): (o.get("type", "string"), number(o.get("min")), number(o.get("max")), [v.text for v in o.findall("Value") if v.text]) for o in ElementTree.fromstring(xml).iter("Option") if o.get("name")}
+    return option_schema(spark, {driver: options})
 
 
 def check_options(flags: DataFrame, schema: DataFrame) -> DataFrame:
