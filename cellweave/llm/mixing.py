@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialise, partitions, table, text_of
+from cellweave.llm.common import fresh, materialise, partitions, table, text_of
 
 SEED = 42
 #: Default target weights grow as a source's size to this power.
@@ -53,23 +53,24 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, outpu
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, output_share: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The columns of docs, once for each copy, and mix_copy (from 1), mix_rate, mix_key; globally shuffled by mix_key."""
+    """The columns of docs, once for each copy, and mix_copy (from 1), mix_rate, mix_key (with underscores appended if docs has such a column); globally shuffled by mix_key."""
     spark = docs.sparkSession
+    src, cdf, n, copy, rate, key = fresh(docs, "mix_src", "mix_cdf", "mix_n", "mix_copy", "mix_rate", "mix_key")
     by_source = materialise(rates(docs, weights, output_share, text_col, source_col))
     if by_source.count() <= 2000:  # some 60 numbers a source; beyond that Spark chooses the join
         by_source = F.broadcast(by_source)
-    by_source = by_source.withColumnsRenamed({"src": "mix_src", "rate": "mix_rate", "cdf": "mix_cdf"})
+    by_source = by_source.withColumnsRenamed({"src": src, "rate": rate, "cdf": cdf})
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     drawn = _bits(F.concat(F.lit(f"{seed}:"), ident), 12) / F.lit(float(1 << 48))
     return (
-        docs.join(by_source, F.col(source_col).eqNullSafe(F.col("mix_src")))
-        .withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c <= drawn)))
-        .where("mix_n > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-        .withColumn("mix_key", _bits(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), F.col("mix_copy").cast("string")), 15))
-        .drop("mix_src", "mix_cdf", "mix_n")
-        .repartition(partitions(spark), "mix_key")
-        .sortWithinPartitions("mix_key")
+        docs.join(by_source, F.col(source_col).eqNullSafe(F.col(src)))
+        .withColumn(n, F.size(F.filter(cdf, lambda c: c <= drawn)))
+        .where(F.col(n) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+        .withColumn(key, _bits(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), F.col(copy).cast("string")), 15))
+        .drop(src, cdf, n)
+        .repartition(partitions(spark), key)
+        .sortWithinPartitions(key)
     )
 
 

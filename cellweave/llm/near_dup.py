@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialise, partitions, pieces, text_of
+from cellweave.llm.common import fresh, materialise, partitions, pieces, text_of
 from cellweave.llm.components import connected_components
 from cellweave.llm.simhash import SEED, shingle_hashes, word_fingerprint, words
 
@@ -170,5 +170,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is not near-duplicate of a smaller one that stays."""
-    gone = near_duplicates(docs, id_col, text_col).select(F.col("node").alias("near_dup_id"))
-    return docs.join(gone, F.col(id_col) == F.col("near_dup_id"), "left_anti")
+    (gone_id,) = fresh(docs, "near_dup_id")
+    gone = near_duplicates(docs, id_col, text_col).select(F.col("node").alias(gone_id))
+    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")

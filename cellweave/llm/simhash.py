@@ -13,8 +13,9 @@ one-bit changes, and neighbours in the sorted members of a ball, of which there
 at most, are linked. Chains give the same components as all pairs would.
 
 Defined results: a null text is an empty one; a text without words has fingerprint
-zero, which is linked like any other. A null id takes part like any other row and
-ranks before all ids. An empty table gives an empty result.
+zero, which is linked like any other. A null id takes part like any other row, but
+names a component only if no other id is in it (then the component is null). Rows that
+repeat an id each get their own fingerprint's component. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -52,7 +52,7 @@ _LOOKALIKES = str.maketrans(
 )
 _SIGNS = str.maketrans("013457@$!|8", "oieastasiib")
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
-_SIGN_RUN = re.compile(r"(?<=[^\W\d_])[013457@$!|8]+(?=[^\W\d_])|(?<![\w@$])[01345@$78](?=[^\W\d_]{2})")
+_SIGN_RUN = re.compile(r"(?<=[^\W\d_])[013457@$!|8]+(?=[^\W\d_])|(?<![\w@$])[01345@$78](?=[^\W\d_][013457@$!|8]*[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 _NARROW = re.compile("[^\x00-ɏ]")
 
