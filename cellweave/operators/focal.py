@@ -290,24 +290,25 @@ def gaussian_blur(pixels: DataFrame, bands: Sequence[str] = ("v",), sigma: float
     return along(along(pixels, "col", "row"), "row", "col")
 
 
-def _neighbours(pixels: DataFrame, value: Column, keys: Sequence[str], radius: int) -> DataFrame:
-    """Key columns, row, col, v, d2: each non-null value at every place within the radius along both axes."""
+def _around(pixels: DataFrame, hole: Column, value: Column, keys: Sequence[str], radius: int) -> DataFrame:
+    """Key columns, row, col of each hole with v and d2 of the valid values around it, within the radius along both axes.
+
+    Holes look for their neighbours, not pixels for holes: the explosion grows with the
+    holes, and the pixels are shuffled once as they are.
+    """
     offsets = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if dr or dc))
-    spread = pixels.select(*keys, "row", "col", value.alias("v")).where("v is not null").withColumn("o", F.explode(offsets))
-    return spread.select(*keys, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "v", (F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d2"))
+    holes = pixels.where(hole).select(*keys, F.col("row").alias("__r"), F.col("col").alias("__c"), F.explode(offsets).alias("o"))
+    wanted = holes.select(*keys, "__r", "__c", (F.col("__r") + F.col("o.dr")).alias("row"), (F.col("__c") + F.col("o.dc")).alias("col"), (F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d2"))
+    values = pixels.where(~hole).select(*keys, "row", "col", value.alias("v")).where("v is not null")
+    return wanted.join(values, [*keys, "row", "col"]).select(*keys, F.col("__r").alias("row"), F.col("__c").alias("col"), "v", "d2")
 
 
 def inpaint_mode(pixels: DataFrame, codes: Sequence[int], code: str = "code", radius: int = 1, keys: Iterable[str] = ()) -> DataFrame:
-    """pixels in which those codes are replaced by the most frequent other code around them (of equals the least); without one they stay.
-
-    Values travel only to the holes around them: both sides are cut down by a semi-join on
-    the places within the radius before they are counted.
-    """
+    """pixels in which those codes are replaced by the most frequent other code around them (of equals the least); without one they stay."""
     keys = list(keys)
     at = [*keys, "row", "col"]
-    is_hole = F.col(code).isin(list(codes))
-    holes = pixels.where(is_hole).select(*at)
-    votes = _neighbours(pixels, F.when(~is_hole, F.col(code)), keys, radius).join(holes, at, "left_semi").groupBy(*at, "v").agg(F.count("*").alias("n"))
+    is_hole = F.coalesce(F.col(code).isin(list(codes)), F.lit(False))
+    votes = _around(pixels, is_hole, F.col(code), keys, radius).groupBy(*at, "v").agg(F.count("*").alias("n"))
     best = votes.groupBy(*at).agg(F.max_by("v", F.struct(F.col("n"), -F.col("v"))).alias("__best"))
     return pixels.join(best, at, "left").withColumn(code, F.when(is_hole, F.coalesce("__best", code)).otherwise(F.col(code))).drop("__best")
 
@@ -316,9 +317,8 @@ def fill_nodata(pixels: DataFrame, nodata: float, band: str = "v", radius: int =
     """pixels in which nodata is replaced by the mean of valid values within the radius, weighted by inverse distance; without any it stays."""
     keys = list(keys)
     at = [*keys, "row", "col"]
-    hole = F.col(band) == nodata
-    holes = pixels.where(hole).select(*at)
-    near = _neighbours(pixels, F.when(~hole, F.col(band).cast("double")), keys, radius).where(F.col("d2") <= radius * radius).join(holes, at, "left_semi")
+    hole = F.coalesce(F.col(band) == nodata, F.lit(False))
+    near = _around(pixels, hole, F.col(band).cast("double"), keys, radius).where(F.col("d2") <= radius * radius)
     weight = 1.0 / F.sqrt(F.col("d2").cast("double"))
     filled = near.groupBy(*at).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("__fill"))
     return pixels.join(filled, at, "left").withColumn(band, F.when(hole, F.coalesce(F.col("__fill"), F.col(band))).otherwise(F.col(band))).drop("__fill")

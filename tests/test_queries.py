@@ -61,3 +61,27 @@ def test_filters_reach_the_scan(spark):
     plan = queries.QUERIES["presence_west_of_x"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan or "ReadSchema" in plan and "label" not in plan.split("ReadSchema")[1].splitlines()[0]
     assert os.path.isdir(SMALL)
+
+
+def test_bucketed_rasters_join_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from cellweave.operators import blend
+    from cellweave.plans.views import layers
+    from cellweave.sources import tables
+
+    x = layers(spark, SMALL).select("row", "col", "a1", "c1", "m")
+    for name, column in (("t_a", "a1"), ("t_b", "c1"), ("t_m", "m")):
+        tables.save_raster(x.select("row", "col", F.col(column).alias("v")), name, 4, mode="overwrite")
+    a, b, m = (tables.load_raster(spark, n) for n in ("t_a", "t_b", "t_m"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = blend.masked_blend(a, b, m, ["v"], "v")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+        want = x.select("row", "col", blend.blend_value("a1", "c1", "m").alias("v"))
+        assert out.exceptAll(want).count() == 0 and out.count() == want.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in ("t_a", "t_b", "t_m"):
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
