@@ -37,7 +37,7 @@ from cellweave.llm.common import pieces, table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words that a worker process keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 NEVER = np.int64(1 << 40)
 
 

@@ -8,6 +8,8 @@ on null texts as on empty ones.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -78,16 +80,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def release_memory() -> None:
+    """Gives memory that was freed back to the system; Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about that many bytes of text (one row at least)."""
-    for batch in batches:
-        start = 0
-        while start < batch.num_rows:
-            rows = batch.num_rows - start
-            size = batch.column(batch.schema.get_field_index(column)).slice(start, rows).nbytes
-            step = rows if size <= most else max(1, min(rows, int(rows * most / size)))
-            yield batch.slice(start, step)
-            start += step
+    try:
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                rows = batch.num_rows - start
+                size = batch.column(batch.schema.get_field_index(column)).slice(start, rows).nbytes
+                step = rows if size <= most else max(1, min(rows, int(rows * most / size)))
+                yield batch.slice(start, step)
+                start += step
+    finally:
+        release_memory()
 
 
 def held_out(id_column: str, by: int, remainder: int) -> Column:

@@ -40,9 +40,9 @@ FAR = 36
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text"):
-        split = [words(t) for t in b.column(1).to_pylist()]
-        fps = [pa.array([word_fingerprint(ws, SEED + k) for ws in split], pa.int64()) for k in range(TABLES)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *fps], names=["id", *(f"f{k}" for k in range(TABLES))])
+        fps = [[word_fingerprint(ws, SEED + k) for k in range(TABLES)] for ws in (words(t.as_py()) for t in b.column(1))]
+        columns = [pa.array(f, pa.int64()) for f in zip(*fps, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", *(f"f{k}" for k in range(TABLES))])
 
 
 def _meet(run: int | None):
@@ -105,12 +105,12 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def shingles(text: str) -> np.ndarray:
         if (s := known.get(text)) is None:
-            if len(known) >= 256:
+            if len(known) >= 64:
                 known.clear()
             s = known[text] = np.unique(np.array(shingle_hashes(words(text), SHINGLE), "u8"))
         return s
 
-    for b in pieces(batches, "text_b"):
+    for b in pieces(batches, "text_b", 1 << 20):
         a_ids, b_ids, a_texts, b_texts = (b.column(i).to_pylist() for i in range(4))
         good = []
         for x, y in zip(a_texts, b_texts, strict=True):
