@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import datetime
-import json
 import os
 import shutil
 import subprocess
@@ -13,13 +12,13 @@ from collections.abc import Callable
 from dataclasses import replace
 from pathlib import Path
 
-import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.expr import to_byte
 from cellweave.operators import blend, catalog, focal, geometric, ramp, reclassify
 from cellweave.sources import geotiff, tiff, tiles
+from cellweave.sources.config import load_reclass_config, load_sources
 
 COMMANDS: dict[str, tuple[Callable, Callable]] = {}
 
@@ -120,8 +119,7 @@ def _reclassify_args(p: argparse.ArgumentParser) -> None:
 
 @command("reclassify", _reclassify_args)
 def reclassify_raster(a: argparse.Namespace) -> None:
-    with open(a.config) as file:
-        config = reclassify.parse_config(yaml.safe_load(file))
+    config = load_reclass_config(a.config)
     o, like = config.options, header_of(a.input)
     guard_output(a.output, True, a.input)
     out = Path(a.output)
@@ -345,10 +343,7 @@ def manifest(a: argparse.Namespace) -> None:
     if not os.path.isdir(a.dir):
         raise NotADirectoryError(a.dir)
     spark = session()
-    sources = {}
-    if a.sources:
-        with open(a.sources) as file:
-            sources = json.load(file)
+    sources = load_sources(a.sources)
     now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     header = {"generated_at_utc": now, "directory": os.path.abspath(a.dir), "hash_algo": "sha256", "tool_versions": {"python": sys.version.split()[0], "spark": spark.version}}
     files = catalog.with_sources(catalog.list_rasters(spark, a.dir), catalog.sources_frame(spark, sources))

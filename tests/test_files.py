@@ -206,3 +206,19 @@ def test_registry():
     assert "proximity" in registry.OPERATORS
     with pytest.raises(ValueError):
         registry.operator("proximity")(lambda df: df)
+
+
+def test_config_files(tmp_path):
+    from cellweave.sources import config
+
+    (tmp_path / "good.yml").write_text("classes: [{name: a, ids: [1]}]")
+    assert config.load_reclass_config(str(tmp_path / "good.yml")).rules[0].ids == (1,)
+    for name, text in (("list.yml", "- 1"), ("broken.yml", "a: [1"), ("empty.yml", "")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            config.load_yaml(str(tmp_path / name))
+    (tmp_path / "s.json").write_text('{"a.tif": "u"}')
+    assert config.load_sources(str(tmp_path / "s.json")) == {"a.tif": "u"} and config.load_sources(None) == {}
+    (tmp_path / "l.json").write_text("[]")
+    with pytest.raises(ValueError):
+        config.load_sources(str(tmp_path / "l.json"))
