@@ -31,7 +31,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.sha2(F.col("norm").cast("binary"), 256)
     narrow = materialise(scanned.select("id", *keys, (full if digest_all else F.lit(None).cast("string")).alias("digest")))
 
-    lengths = narrow.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
+    # written, so that its size is known when the join is planned: broadcast if small, else splittable by adaptive execution
+    lengths = materialise(narrow.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"))
     heads = materialise(narrow.join(lengths, "len", "left_semi").groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1").select("len", "head"))
     if digest_all:
         rivals = narrow.join(heads, ["len", "head"], "left_semi").select("id", "digest")
