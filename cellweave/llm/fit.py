@@ -16,14 +16,20 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, by: int, rema
     """id, label, half, text of at most rows_per_class training rows of each class, and how many each class has in all.
 
     Rows are taken in the order of a hash of their id, so the sample is the same on every run.
-    Rows whose crc32 leaves the remainder, and rows without an id or label, are never taken.
+    Those whose hash is far above what the sample needs are left out in the scan, so that
+    no more than a few times its size is ever sorted. Rows whose crc32 leaves the
+    remainder, and rows without an id or label, are never taken.
     """
     usable = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id", by, remainder))
     totals = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64(F.lit("sample"), F.col("id"))
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 53))
     picked = None
     for k in (0, 1):
-        part = usable.where(F.col("label") == k).orderBy(order, "id").limit(rows_per_class)
+        part = usable.where(F.col("label") == k).withColumn("place", place)
+        share = 2 * rows_per_class / max(1, totals.get(k, 0))
+        if share < 1:
+            part = part.where(F.col("place") < int(share * (1 << 53)))
+        part = part.orderBy("place", "id").limit(rows_per_class).drop("place")
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int"))
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
