@@ -159,8 +159,8 @@ def likeness(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.
 _CELL_TYPE = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
 
 
-def fingerprints_of(keys: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    """The smallest sketch of each text, as base64."""
+def fingerprints_of(keys: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """The smallest sketch of each text."""
     key, at = keys
     n = len(at) - 1
     s = Sketches(np.full(n, SLOTS), 0)
@@ -169,12 +169,12 @@ def fingerprints_of(keys: tuple[np.ndarray, np.ndarray]) -> list[str]:
     packed["count"], packed["key"], packed["check"] = s.count, s.keys, s.checks & np.uint64(0xFFFFFFFF)
     width = 3 * SLOTS * _CELL_TYPE.itemsize
     data = packed.tobytes()
-    return [base64.b64encode(data[i * width : (i + 1) * width]).decode() for i in range(n)]
+    return [data[i * width : (i + 1) * width] for i in range(n)]
 
 
-def differing(first: str, second: str) -> tuple[list[int], list[int]] | None:
+def differing(first: str | bytes, second: str | bytes) -> tuple[list[int], list[int]] | None:
     """Paragraph digests that only the first fingerprint's text has, and only the second's; None if they are too many."""
-    a, b = (np.frombuffer(base64.b64decode(x), _CELL_TYPE) for x in (first, second))
+    a, b = (np.frombuffer(base64.b64decode(x) if isinstance(x, str) else x, _CELL_TYPE) for x in (first, second))
     count, keys, checks = a["count"].astype("i8") - b["count"], a["key"] - b["key"], a["check"] - b["check"]
     sketch, found = Sketches(np.array([SLOTS]), 0), ([], [])
     while True:
@@ -196,8 +196,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+# digests and sketches are random bytes, which no codec shrinks: they are spelled out only in the result
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def _compared(ids: list, texts: list[str], follows: np.ndarray, n: int) -> list[pa.Array]:
@@ -206,7 +207,7 @@ def _compared(ids: list, texts: list[str], follows: np.ndarray, n: int) -> list[
     changed = [edited(texts[i], texts[follows[i]]) for i in range(n)]
     new = keys_of(changed)
     each = np.arange(n)
-    sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
+    sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in changed]
     near = likeness(own, new, each, each), likeness(own, own, each, follows[:n])
     columns = [ids[:n], [len(t) for t in texts[:n]], sha, fingerprints_of((own[0][: own[1][n]], own[1][: n + 1])), fingerprints_of(new), *near]
     return [pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)]
@@ -263,7 +264,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     follow = F.broadcast(spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int"))
     heads = ends.where(F.col("kind") == FIRST).select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     pairs = ends.where(F.col("kind") == LAST).join(follow, "part").join(heads, "next_part").select("doc_id", "text", "next_text")
-    return streamed.where("kind = 0").select(*_FIELDS.names).unionByName(pairs.mapInArrow(_paired, _RESULT))
+    whole = streamed.where("kind = 0").select(*_FIELDS.names).unionByName(pairs.mapInArrow(_paired, _RESULT))
+    return whole.withColumns({"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": F.base64("fingerprint"), "edited_fingerprint": F.base64("edited_fingerprint")})
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
