@@ -9,9 +9,13 @@ of their sets of five-word shingles has to be 0.8 or more.
 
 A variant with at most RUN documents gives all its pairs. A larger one only pairs each
 member with the least id; then every group found so far is replaced by one
-representative and the members of large variants meet again, until no variant is
-large, or until a round finds nothing new, when the rest give all their pairs. So two
-documents that stay and share a variant have always been compared.
+representative and the members of large variants meet again, as long as each round
+halves their number. All documents that were in large variants at first are then
+joined exactly by prefix filtering, but for pairs that are in one group already: of
+two shingle sets that are 0.8 alike, ordered from the rarest shingle, the first ninth
+of the smaller one meets the first fifth of the larger one, and the parities of their
+shingles in BUCKETS buckets must not differ more than the sets may. So of the documents
+that share a variant, any two are compared, excluded, or in one group anyway.
 
 Defined results: a null text is an empty one; empty texts are alike. Ids are taken as
 unique: rows that repeat an id share its fate. Rows with a null id stay. The least id
@@ -24,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import fresh, materialise, partitions, pieces, text_of
 from cellweave.llm.components import connected_components
 from cellweave.llm.simhash import SEED, shingle_hashes, word_fingerprint, words
 
-TABLES = 3
+TABLES = 4
 SHINGLE = 5
 LIKE = 0.8
 RUN = 8
-FAR = 36
+FAR = 12 * TABLES
+#: Buckets of a text's parity sketch, in longs.
+BUCKETS = 8 * 64
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +51,7 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", *(f"f{k}" for k in range(TABLES))])
 
 
-def _meet(run: int | None):
+def _meet(run: int):
     """Over rows (key, v = 2 * id + the bit left out) sorted by both: a, b, crowded."""
 
     def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
@@ -69,7 +75,7 @@ def _meet(run: int | None):
             begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             lengths = np.diff(np.concatenate((begins, [len(key)])))
             heads = v[begins].copy()
-            large = np.zeros(len(begins), bool) if run is None else lengths > run
+            large = lengths > run
             if least is not None and key[0] == least[0]:
                 heads[0], large[0] = least[1], True
             rows = np.repeat(large, lengths)
@@ -90,7 +96,7 @@ def _meet(run: int | None):
                 key, v = key[tail:], v[tail:]
             if least is not None and least[0] != key[0]:
                 least = None
-            if run is not None and (least is not None or len(key) > run):
+            if least is not None or len(key) > run:
                 least = least or (int(key[0]), int(v[0]))
                 yield from settle(key, v)
                 key, v = key[:0], v[:0]
@@ -122,7 +128,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a_ids, "i8")[mask]), pa.array(np.array(b_ids, "i8")[mask])], names=["a", "b"])
 
 
-def candidates(fps: DataFrame, run: int | None) -> tuple[DataFrame, DataFrame]:
+def candidates(fps: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of ids that meet, and the ids in variants that are too large for all pairs."""
     n = partitions(fps.sparkSession)
     shift = "cast(v % 64 div 32 * 32 as int)"
@@ -134,36 +140,86 @@ def candidates(fps: DataFrame, run: int | None) -> tuple[DataFrame, DataFrame]:
     return met.where("b is not null").distinct(), met.where("b is null").select(F.col("a").alias("id")).distinct()
 
 
-def verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """docs: id, text."""
+def close(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """The pairs whose fingerprints differ in FAR bits at most."""
     ends = [fps.select(F.col("id").alias(e), *(F.col(f"f{k}").alias(f"{e}{k}") for k in range(TABLES))) for e in "ab"]
     far = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(TABLES)), F.lit(0))
-    near = materialise(pairs.join(ends[0], "a").join(ends[1], "b").where(far <= FAR).select("a", "b"))
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(far <= FAR).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose texts are alike. docs: id, text."""
+    near = materialise(pairs)
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])
     joined = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return materialise(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shingles(text: str) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(words(text), SHINGLE), "u8"))
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text to id, h, n: each distinct shingle, and how many the text has."""
+    for b in pieces(batches, "text", 1 << 20):
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h = _shingles(text).view("i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc_id, "i8")), pa.array(h), pa.array(np.full(len(h), len(h), "i4"))], names=["id", "h", "n"])
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text to id, s: of each bucket whether an odd number of shingles falls into it.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
+    for b in pieces(batches, "text", 1 << 20):
+        bits = [np.bincount((_shingles(t.as_py()) >> np.uint64(40)).astype("i8") % BUCKETS, minlength=BUCKETS) % 2 for t in b.column(1)]
+        longs = [np.packbits(x.astype("u1"), bitorder="little").view("<i8") for x in bits]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(longs, pa.list_(pa.int64()))], names=["sid", "s"])
+
+
+def prefix_pairs(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids among which are all whose shingle sets are at least 4/5 alike and whose roots differ. docs: id, text; roots: node, root."""
+    all_shingles = materialise(docs.mapInArrow(_shingled, "id long, h long, n int"))
+    often = materialise(all_shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = all_shingles.join(often, "h")
+    one = Window.partitionBy("id")  # a text's own shingles
+    # shingles that no other text has come first; among the rest the rarest
+    place = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("df", "h")) - 1
+    first = shared.select("id", "h", "n", place.alias("at")).where("at < n - (4 * n + 4) div 5 + 1")
+    about = docs.mapInArrow(_parities, "sid long, s array<long>")
+    about = materialise(about.join(roots, about["sid"] == roots["node"], "left").select("sid", "s", F.coalesce("root", "sid").alias("root")))
+    first = materialise(first.join(about, first["id"] == about["sid"]).select("id", "h", "n", "at", "root", *(F.col("s")[i].alias(f"s{i}") for i in range(BUCKETS // 64))))
+    columns = ["n", "at", "root", *(f"s{i}" for i in range(BUCKETS // 64))]
+    a, b = (first.select("h", F.col("id").alias(e), *(F.col(c).alias(f"{c}{e}") for c in columns)) for e in "ab")
+    a = a.where("ata < na - (8 * na + 8) div 9 + 1")
+    least = "(4 * (na + nb) + 8) div 9"  # so many have to be shared
+    order = "(na < nb or na = nb and a < b) and 5 * na >= 4 * nb"
+    enough = f"least(na - ata, nb - atb) >= {least}"  # what can still be shared from here on
+    bits = " + ".join(f"bit_count(s{i}a ^ s{i}b)" for i in range(BUCKETS // 64))
+    return a.join(b, "h").where(f"roota <> rootb and {order} and {enough} and {bits} <= na + nb - 2 * ({least})").select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """node, root: each document to drop and the one of its group that stays."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     fps = materialise(texts.mapInArrow(_fingerprinted, ", ".join(["id long", *(f"f{k} long" for k in range(TABLES))])))
-    active, links, run, left = fps, None, RUN, None
+    active, links, left, first = fps, None, None, None
     while True:
         pairs, crowded = candidates(active, run)
-        found = verified(pairs, fps, texts)
+        first = materialise(crowded) if first is None else first
+        found = verified(close(pairs, fps), texts)
         links = found if links is None else materialise(links.unionByName(found))
         roots = connected_components(links)
-        if run is None:
-            return roots
         groups = crowded.join(roots, crowded["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("id").alias("id"))
         again = materialise(groups.select("id"))
         n = again.count()
-        if n < 2:
+        if n < 2 and left is None:
             return roots
-        if left is not None and n >= left:
-            run = None
+        if n < 2 or left is not None and 2 * n > left:
+            rest = verified(prefix_pairs(texts.join(first, "id", "left_semi").dropDuplicates(["id"]), roots), texts)
+            return connected_components(links.unionByName(rest))
         left = n
         active = fps.join(again, "id", "left_semi")
 

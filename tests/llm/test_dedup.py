@@ -233,6 +233,37 @@ def test_large_group_of_copies(spark):
     assert {r["node"] for r in got} == set(range(1, 300)) and {r["root"] for r in got} == {0}
 
 
+def edited_group(rng, n, edits):
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        ws = list(base)
+        for _ in range(rng.randrange(*edits)):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(ws))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [(0, 3), (1, 4), (3, 9)])
+def test_crowded_variants(spark, edits):
+    """Texts of much the same words, alike or not in their shingles, in variants that are all too large."""
+    rows = list(enumerate(edited_group(random.Random(8), 120, edits)))
+    got = {r["node"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), run=2).collect()}
+    want = brute_near(rows)
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("edits", [(0, 3), (1, 5), (3, 9)])
+def test_prefix_pairs_miss_nothing(spark, edits):
+    rng = random.Random(9)
+    rows = list(enumerate(edited_group(rng, 60, edits) + [" ".join(t.split()[: rng.randrange(90, 121)]) for t in edited_group(rng, 40, edits)] + ["", "one two", "one two"]))
+    sets = shingle_sets(rows)
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])}
+    pairs = near_dup.prefix_pairs(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([], "node long, root long")).collect()
+    got = {(min(r), max(r)) for r in pairs}
+    assert want <= got and len(pairs) == len(got) and len(want) > 0 or edits == (3, 9)
+
+
 def test_messy_near_duplicates(spark):
     kept = near_dup.drop_near_duplicates(docs(spark)).collect()
     ids = [r["doc_id"] for r in kept]
