@@ -10,12 +10,19 @@ of their sets of five-word shingles has to be 0.8 or more.
 A variant with at most RUN documents gives all its pairs. A larger one only pairs each
 member with the least id; then every group found so far is replaced by one
 representative and the members of large variants meet again, as long as each round
-halves their number. All documents that were in large variants at first are then
-joined exactly by prefix filtering, but for pairs that are in one group already: of
-two shingle sets that are 0.8 alike, ordered from the rarest shingle, the first ninth
-of the smaller one meets the first fifth of the larger one, and the parities of their
-shingles in BUCKETS buckets must not differ more than the sets may. So of the documents
-that share a variant, any two are compared, excluded, or in one group anyway.
+halves their number.
+
+Fingerprints miss pairs, most of all if an edit is one contiguous piece. So all
+documents are then joined exactly by prefix filtering, but for pairs that are in one
+group already: of two shingle sets that are 0.8 alike, in whatever order that is the
+same for all, the first ninth of the smaller one meets the first fifth of the larger
+one. The order is by hash, with shingles last that recur in a sample of the documents
+(the sample only saves work). A shingle that more than MEMBERS of the prefixes hold, not
+all in one group, gives no pairs: a pair that meets nowhere else has both its
+documents in such, and these documents are joined again in order of the shingles' exact
+frequency. Parities of the shingles in BUCKETS buckets, which must not differ in more
+bits than the sets may in shingles, exclude pairs before texts are read. So any two
+documents are compared, excluded, or in one group anyway.
 
 Defined results: a null text is an empty one; empty texts are alike. Ids are taken as
 unique: rows that repeat an id share its fate. Rows with a null id stay. The least id
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import fresh, materialise, partitions, pieces, text_of
+from cellweave.llm.common import fresh, materialise, partitions, pieces, release_memory, text_of
 from cellweave.llm.components import connected_components
 from cellweave.llm.simhash import SEED, shingle_hashes, word_fingerprint, words
 
@@ -42,13 +49,33 @@ RUN = 8
 FAR = 12 * TABLES
 #: Buckets of a text's parity sketch, in longs.
 BUCKETS = 8 * 64
+#: Documents with a shingle in their prefix up to which pairs are formed.
+MEMBERS = 64
+#: One document of so many, by a hash of the id, tells which shingles recur: those in OFTEN of them, MOST_OFTEN at most. All three only order the shingles.
+SAMPLE, OFTEN, MOST_OFTEN = 16, 4, 1 << 20
+#: Columns of what is known of a text besides its fingerprints: the number of its shingles and their parities.
+ABOUT = ["n", *(f"s{i}" for i in range(BUCKETS // 64))]
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """Of each bucket whether an odd number of shingles falls into it, in longs.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
+    odd = np.bincount((shingles >> np.uint64(40)).astype("i8") % BUCKETS, minlength=BUCKETS) % 2
+    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["id", *(f"f{k}" for k in range(TABLES)), *ABOUT]
     for b in pieces(batches, "text"):
-        fps = [[word_fingerprint(ws, SEED + k) for k in range(TABLES)] for ws in (words(t.as_py()) for t in b.column(1))]
-        columns = [pa.array(f, pa.int64()) for f in zip(*fps, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", *(f"f{k}" for k in range(TABLES))])
+        rows = []
+        for text in b.column(1):
+            ws = words(text.as_py())
+            shingles = np.unique(np.array(shingle_hashes(ws, SHINGLE), "u8"))
+            rows.append([*(word_fingerprint(ws, SEED + k) for k in range(TABLES)), len(shingles), *_parity(shingles).tolist()])
+        columns = [pa.array(f, pa.int64()) for f in zip(*rows, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
 
 
 def _meet(run: int):
@@ -140,11 +167,15 @@ def candidates(fps: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     return met.where("b is not null").distinct(), met.where("b is null").select(F.col("a").alias("id")).distinct()
 
 
-def close(pairs: DataFrame, fps: DataFrame) -> DataFrame:
-    """The pairs whose fingerprints differ in FAR bits at most."""
-    ends = [fps.select(F.col("id").alias(e), *(F.col(f"f{k}").alias(f"{e}{k}") for k in range(TABLES))) for e in "ab"]
-    far = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(TABLES)), F.lit(0))
-    return pairs.join(ends[0], "a").join(ends[1], "b").where(far <= FAR).select("a", "b")
+def possible(pairs: DataFrame, fps: DataFrame, far: int | None = None) -> DataFrame:
+    """The pairs whose parities let them be alike and, if far is given, whose fingerprints differ in so many bits at most."""
+    names = ABOUT if far is None else [*ABOUT, *(f"f{k}" for k in range(TABLES))]
+    ends = [fps.select(F.col("id").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in names)) for e in "ab"]
+    bits = " + ".join(f"bit_count(s{i}_a ^ s{i}_b)" for i in range(BUCKETS // 64))
+    near = F.expr(f"{bits} <= n_a + n_b - 2 * ((4 * (n_a + n_b) + 8) div 9)")
+    if far is not None:
+        near &= F.expr(" + ".join(f"bit_count(f{k}_a ^ f{k}_b)" for k in range(TABLES))) <= far
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(near).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,13 +200,9 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text to id, s: of each bucket whether an odd number of shingles falls into it.
-
-    Two sets differ in at least as many shingles as their parities differ in bits.
-    """
+    """id, text to id, s."""
     for b in pieces(batches, "text", 1 << 20):
-        bits = [np.bincount((_shingles(t.as_py()) >> np.uint64(40)).astype("i8") % BUCKETS, minlength=BUCKETS) % 2 for t in b.column(1)]
-        longs = [np.packbits(x.astype("u1"), bitorder="little").view("<i8") for x in bits]
+        longs = [_parity(_shingles(t.as_py())) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(longs, pa.list_(pa.int64()))], names=["sid", "s"])
 
 
@@ -201,24 +228,121 @@ def prefix_pairs(docs: DataFrame, roots: DataFrame) -> DataFrame:
     return a.join(b, "h").where(f"roota <> rootb and {order} and {enough} and {bits} <= na + nb - 2 * ({least})").select("a", "b").distinct()
 
 
+def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, "text", 1 << 20):
+        for text in b.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(_shingles(text.as_py()).view("i8"))], names=["h"])
+
+
+def recurring(docs: DataFrame) -> np.ndarray:
+    """The shingles that recur in the sample, ascending."""
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text")
+    often = sample.mapInArrow(_distinct_shingles, "h long").groupBy("h").agg(F.count("*").alias("df")).where(f"df >= {OFTEN}")
+    return np.sort(often.orderBy(F.desc("df"), "h").limit(MOST_OFTEN).select("h").toArrow().column(0).to_numpy().astype("i8").view("u8"))
+
+
+def _prefixes(often: np.ndarray):
+    """id, root, text to the prefix of each text's shingles: h, id, root, n, at."""
+    names = ["h", "id", "root", "n", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 1 << 20):
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            for doc_id, root, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                h = _shingles(text)
+                n = len(h)
+                if len(often):
+                    last = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
+                    h = np.concatenate((h[~last], h[last]))
+                h = h[: n - (4 * n + 4) // 5 + 1]
+                for column, x in zip(columns, (h.view("i8"), np.full(len(h), doc_id, "i8"), np.full(len(h), root, "i8"), np.full(len(h), n, "i4"), np.arange(len(h), dtype="i4")), strict=True):
+                    column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
+
+    return run
+
+
+def _prefixes_meet(most: int):
+    """Over rows (h, id, root, n, at) sorted by h: pairs (a, b) that may be alike, or (a, null) for each member of a long run."""
+
+    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], names=["a", "b"])
+
+    def paired(h: np.ndarray, ident: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lag in range(1, len(h)):
+            x = np.flatnonzero(h[lag:] == h[:-lag])
+            if not len(x):
+                return
+            x = x[root[x] != root[x + lag]]
+            y = x + lag
+            swap = n[x] > n[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)  # the smaller set first
+            least = (4 * (n[x] + n[y]) + 8) // 9  # so many have to be shared
+            take = (5 * n[x] >= 4 * n[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= least)
+            if take.any():
+                yield out(np.minimum(ident[x], ident[y])[take], np.maximum(ident[x], ident[y])[take])
+
+    def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, ident, root = columns[:3]
+        begins = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        lengths = np.diff(np.append(begins, len(h)))
+        several = np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)
+        long = np.repeat(several & (lengths > most), lengths)
+        if long.any():
+            yield out(np.unique(ident[long]), None)
+        short = np.repeat(several & (lengths <= most), lengths)
+        if short.any():
+            yield from paired(*(c[short] for c in columns))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last, perhaps unfinished run
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                new = [c.to_numpy().astype("i8") for c in batch.columns]
+                columns = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+                tail = int(np.searchsorted(columns[0], columns[0][-1]))
+                if tail:
+                    yield from settle([c[:tail] for c in columns])
+                held = [c[tail:].copy() for c in columns]
+            if held is not None:
+                yield from settle(held)
+        finally:
+            release_memory()
+
+    return stream
+
+
+def exact_pairs(docs: DataFrame, fps: DataFrame, roots: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """Pairs (a, b) of ids among which are all whose shingle sets are at least 4/5 alike and whose roots differ. docs: id, text; roots: node, root."""
+    n = partitions(docs.sparkSession)
+    rooted = docs.join(roots, docs["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "text")
+    rows = rooted.mapInArrow(_prefixes(recurring(docs)), "h long, id long, root long, n int, at int")
+    met = materialise(rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_prefixes_meet(most), "a long, b long"))
+    pairs = possible(met.where("b is not null").distinct(), fps)
+    crowded = materialise(met.where("b is null").select(F.col("a").alias("id")).distinct())
+    if crowded.isEmpty():
+        return pairs
+    return pairs.unionByName(prefix_pairs(docs.join(crowded, "id", "left_semi").dropDuplicates(["id"]), roots)).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """node, root: each document to drop and the one of its group that stays."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    fps = materialise(texts.mapInArrow(_fingerprinted, ", ".join(["id long", *(f"f{k} long" for k in range(TABLES))])))
-    active, links, left, first = fps, None, None, None
+    fps = materialise(texts.mapInArrow(_fingerprinted, ", ".join(["id long", *(f"f{k} long" for k in range(TABLES)), *(f"{c} long" for c in ABOUT)])))
+    active, links, left = fps, None, None
     while True:
         pairs, crowded = candidates(active, run)
-        first = materialise(crowded) if first is None else first
-        found = verified(close(pairs, fps), texts)
+        found = verified(possible(pairs, fps, FAR), texts)
         links = found if links is None else materialise(links.unionByName(found))
         roots = connected_components(links)
         groups = crowded.join(roots, crowded["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("id").alias("id"))
         again = materialise(groups.select("id"))
         n = again.count()
-        if n < 2 and left is None:
-            return roots
         if n < 2 or left is not None and 2 * n > left:
-            rest = verified(prefix_pairs(texts.join(first, "id", "left_semi").dropDuplicates(["id"]), roots), texts)
+            rest = verified(exact_pairs(texts, fps, roots), texts)
             return connected_components(links.unionByName(rest))
         left = n
         active = fps.join(again, "id", "left_semi")

@@ -264,6 +264,32 @@ def test_prefix_pairs_miss_nothing(spark, edits):
     assert want <= got and len(pairs) == len(got) and len(want) > 0 or edits == (3, 9)
 
 
+def block_edits(texts, rng):
+    """Copies whose edit is one piece: cut off, appended, a block replaced; all 0.8 alike or more."""
+    rows = []
+    for k, ws in enumerate(texts):
+        n = len(ws)
+        new = [f"y{rng.randrange(10**6)}" for _ in range(n)]
+        at = n // 3
+        copies = {"own": ws, "cut": ws[: n - n * 18 // 100], "appended": ws + new[: n * 22 // 100], "replaced": ws[:at] + new[: n * 8 // 100] + ws[at + n * 8 // 100 :]}
+        rows += [(k * 10 + i, kind, " ".join(c)) for i, (kind, c) in enumerate(copies.items())]
+    return rows
+
+
+@pytest.mark.parametrize("members", [2, 64])
+def test_block_edits_are_all_found(spark, monkeypatch, members):
+    """Each copy with its original only, as copies of one text would find each other by chains."""
+    monkeypatch.setattr(near_dup.exact_pairs, "__defaults__", (members,))
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(15)]  # a passage that all share
+    edits = block_edits([[f"w{rng.randrange(2000)}" for _ in range(rng.randrange(150, 600))] + common for _ in range(80)], rng)
+    for kind in ("cut", "appended", "replaced"):
+        rows = [(i, t) for i, k, t in edits if k in ("own", kind)]
+        want = brute_near(rows)
+        assert len(want) == 80
+        assert {r["node"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want, kind
+
+
 def test_messy_near_duplicates(spark):
     kept = near_dup.drop_near_duplicates(docs(spark)).collect()
     ids = [r["doc_id"] for r in kept]
