@@ -266,6 +266,34 @@ def test_draws_are_poisson(spark):
         mixing.mix(df, output_share=1e4).count()
 
 
+def test_a_tiny_source_beside_a_large_one(spark):
+    """The rate of the tiny source is thousands; each document of it has about as many copies, by the quantile of its uniform number."""
+    rows = [(i, "x" * 1000, "en", "large", 1000) for i in range(40_000)] + [(100_000 + i, "y", "en", None, 1) for i in range(20)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).where("source is null").groupBy("doc_id").agg(F.count("*").alias("c"), F.max("mix_rate").alias("rate"), F.max("mix_copy").alias("last")).collect()
+    rate = math.sqrt(20) / (math.sqrt(20) + math.sqrt(40_000_000)) * 40_000_020 / 20
+    assert rate > mixing.DIRECT_RATE and len(out) == 20
+    for r in out:
+        u = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:12], 16) / (1 << 48)
+        below = lambda k: math.fsum(math.exp(j * math.log(rate) - rate - math.lgamma(j + 1)) for j in range(k))
+        assert abs(r["rate"] / rate - 1) < 1e-9 and r["c"] == r["last"] and below(r["c"]) <= u + 1e-9 and u - 1e-9 < below(r["c"] + 1)
+
+
+@pytest.mark.parametrize("rate", [500.5, 700.0, 12_345.6, 1e6, 1e9])
+def test_distribution_of_a_large_rate(rate):
+    low, cdf = mixing.distribution(rate)
+    p = np.diff(cdf)
+    k = np.arange(low + 1, low + len(cdf))
+    mean = float((p * k).sum()) + cdf[0] * low
+    assert abs(mean / rate - 1) < 1e-7 and abs(float((p * (k - mean) ** 2).sum()) / rate - 1) < 1e-4 and cdf[0] < 1e-20 and cdf[-1] == 1.0
+    if rate < 1000:  # the direct recurrence still works, from the smallest doubles on
+        term, total, want = math.exp(-rate), math.exp(-rate), []
+        for j in range(1, low + len(cdf)):
+            term *= rate / j
+            total += term
+            want.append(total)
+        assert np.allclose(want[low:], cdf[1:], atol=1e-9)
+
+
 def test_a_rate_of_nothing(spark):
     df = spark.createDataFrame([(1, None, "en", None, 0), (2, "", "en", None, 0), (3, "abc", "en", "s", 3)], SCHEMA)
     assert {r["mix_rate"] for r in mixing.mix(df, {"s": 0.0, None: 1.0}).collect()} <= {1.0}
