@@ -7,7 +7,10 @@ each hash stands; subtrees on at least LEAST_PAGES pages and on a share of SHARE
 the host's pages are deleted, along with elements whose tag, role or class names
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 comments. What an article or main element holds then is the text; without one, what
-the body holds. Prose of an article is never deleted because pages share it.
+the body holds. Prose is never deleted because pages share it, nor through an element
+around it: of such an element only what is no prose goes. Prose is a paragraph, heading,
+list item, table cell or the like with text of its own that isn't just links; inside an
+article or main element, any block with text of its own.
 
 A host keeps at most (candidates per page) / SHARE template hashes, so they travel to
 the pages as one row per host: broadcast if there are few hosts, else joined.
@@ -61,10 +64,10 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("children", "dropped", "mark", "tag")
+    __slots__ = ("children", "dropped", "keeps", "mark", "tag")
 
     def __init__(self, tag: str, dropped: bool = False):
-        self.tag, self.dropped, self.children, self.mark = tag, dropped, [], None
+        self.tag, self.dropped, self.children, self.mark, self.keeps = tag, dropped, [], None, False
 
 
 def _unwanted(tag: str, attributes: str) -> bool:
@@ -142,14 +145,18 @@ def parse(page: str) -> Node:
     return root
 
 
-def _seal(root: Node) -> None:
-    """Gives each node a mark: the hash of its tag and of what it holds."""
-    order, todo = [], [root]
+def _seal(root: Node, mains: list[Node]) -> None:
+    """Gives each node a mark, the hash of its tag and of what it holds, and whether it is or holds prose to keep."""
+    tops = {id(x) for x in mains if x is not root}
+    order, todo = [], [(root, False)]
     while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += [c for c in node.children if c.__class__ is Node]
-    for node in reversed(order):
+        node, inside = todo.pop()
+        order.append((node, inside))
+        inside = inside or id(node) in tops
+        todo += [(c, inside) for c in node.children if c.__class__ is Node]
+    for node, inside in reversed(order):
+        # a link or dropped element keeps nothing; text in inline elements belongs to the block around them
+        node.keeps = not node.dropped and node.tag != "a" and (any(c.__class__ is Node and c.keeps for c in node.children) or node.tag not in INLINE and _is_prose(node, inside))
         parts = [node.tag.encode()]
         for c in node.children:
             if c.__class__ is Node:
@@ -178,28 +185,39 @@ def _main_nodes(root: Node) -> list[Node]:
     return [root]
 
 
-def _is_prose(node: Node) -> bool:
-    """Whether it is text with inline elements only, and not just links."""
+def _says(text: str) -> bool:
+    """Whether there is a letter or digit in it, so that it is more than what parts links."""
+    return any(map(str.isalnum, entities.unescape(text)))
+
+
+def _is_prose(node: Node, inside: bool = False) -> bool:
+    """Whether it is text with inline elements only, and not just links; inside an article, any block with text directly in it."""
+    if inside and any(c.__class__ is not Node and _says(c) for c in node.children):
+        return True
     if node.tag not in PROSE or node.tag == "a":
         return False
-    own = False
+    own = signs = links = False
     todo = list(node.children)
     while todo:
         c = todo.pop()
         if c.__class__ is not Node:
-            own = own or bool(c.strip())
+            signs = signs or bool(c.strip())
+            own = own or _says(c)
         elif c.tag not in PROSE:
             return False
         elif c.tag != "a":
             todo += c.children
-    return own
+        else:
+            links = True
+    return own or signs and not links
 
 
 def candidates(page: str) -> set[int]:
     """Marks of the subtrees that may belong to a template."""
     root = parse(page)
-    _seal(root)
-    mains = {id(x) for x in _main_nodes(root)}
+    found = _main_nodes(root)
+    _seal(root, found)
+    mains = {id(x) for x in found}
     out: set[int] = set()
     todo = [(c, id(root) in mains) for c in root.children if c.__class__ is Node]
     while todo:
@@ -207,7 +225,7 @@ def candidates(page: str) -> set[int]:
         if node.tag in ("script", "style", "head", "br", "hr", "meta", "link"):
             continue
         is_main = id(node) in mains
-        if not is_main and node.tag not in ("html", "body", "main", "article") and not (inside and (node.tag in INLINE or _is_prose(node))):
+        if not is_main and node.tag not in ("html", "body", "main", "article") and not (inside and (node.tag in INLINE or node.keeps)):
             out.add(_signed(node.mark))
         todo += [(c, inside or is_main) for c in node.children if c.__class__ is Node]
     return out
@@ -218,11 +236,10 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    if template:
-        _seal(root)
     blocks: list[list[str]] = [[]]
     mains = _main_nodes(root)
-    in_main = mains != [root]
+    if template:
+        _seal(root, mains)
 
     def walk(top: Node) -> None:
         todo: list = [(top, True)]
@@ -237,7 +254,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
             if c is not top:
                 if c.dropped:
                     continue
-                if template and _signed(c.mark) in template and not (c.tag in INLINE or in_main and _is_prose(c)):
+                if template and _signed(c.mark) in template and not (c.tag in INLINE or c.keeps):
                     continue
             if c.tag == "br":
                 blocks[-1].append(" ")

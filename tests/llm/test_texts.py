@@ -236,6 +236,24 @@ def test_templates_by_a_join(spark, monkeypatch):
     assert sorted(html_text.extract(pages).collect(), key=str) == want
 
 
+@pytest.mark.parametrize(
+    ("copied", "text"),
+    [
+        ("<article><div><p>Copied prose.</p></div></article>", "Copied prose."),
+        ("<article><h1>T</h1><section><div><p>One.</p><div><a href='/a'>A</a><a href='/b'>B</a></div><p>Two.</p></div></section></article>", "T\nOne.\nTwo."),
+        ("<article><ul><li>first point</li><li><a href='/x'>link</a></li></ul><table><tr><td>cell</td></tr></table><figure><img src=x><figcaption>Caption</figcaption></figure></article>", "first point\ncell\nCaption"),
+        ("<main><div>Text without a paragraph, <b>bold</b>.</div><div><a href='/'>home</a></div></main>", "Text without a paragraph, bold."),
+        ("<div><div><p>Prose of a page <a href='/'>without</a> article.</p></div></div><div><a href='/'>home</a></div><p><a href='/'>only</a> | <a href='/a'>links</a></p>", "Prose of a page without article."),
+    ],
+)
+@pytest.mark.parametrize(("n", "of"), [(5, 50), (20, 60)])
+def test_copied_pages_keep_their_prose(spark, copied, text, n, of):
+    """A group of equal pages on a host, large enough for their subtrees to recur."""
+    rows = [(i, "http://example.org/", copied if i < n else f"<article><p>page {i}</p></article>") for i in range(of)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(n)] == [text] * n and got[n] == f"page {n}"
+
+
 def test_no_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
