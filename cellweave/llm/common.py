@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -43,26 +44,47 @@ def ascii_lower(column: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder of spark.checkpoint.dir. Where that is unset a session in one process, as in tests, gets one of its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     own = tempfile.mkdtemp(prefix="cellweave-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def _path(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a Parquet table in the shared folder, which outlives lost executors.
 
     A join with the reread table also has a plain exchange on that side, so that
     adaptive execution can split its hot keys, which it can't beneath an aggregate.
+    The table goes by `discard` or, as results are read lazily, when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cellweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found, files = _path(spark, path)
+    files.deleteOnExit(found)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cellweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `materialise` returned and nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "_cellweave_path", None)) is not None:
+            found, files = _path(df.sparkSession, path)
+            files.delete(found, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialise
+from cellweave.llm.common import discard, materialise
 
 
 def _state(pairs: DataFrame) -> tuple:
@@ -19,23 +19,31 @@ def _state(pairs: DataFrame) -> tuple:
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
+    """A table of the moved pairs."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    out = materialise(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    discard(least, pairs)
+    return out
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
+    """A table of the moved pairs."""
     least = materialise(pairs.groupBy("a").agg(F.min("b").alias("m")))
     moved = pairs.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    out = materialise(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+    discard(least, pairs)
+    return out
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for each node of pairs a, b that isn't itself a root."""
+    """A table of node, root (the smallest node reachable) for each node of pairs a, b that isn't itself a root."""
     pairs = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(pairs)
     while True:
-        pairs = materialise(_small_star(materialise(_large_star(pairs))))
+        pairs = _small_star(_large_star(pairs))
         before, state = state, _state(pairs)
         if state == before:
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._cellweave_path = pairs._cellweave_path
+            return out

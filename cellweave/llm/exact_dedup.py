@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import ASCII_LOWER, ASCII_UPPER, BROADCAST_ROWS, ascii_lower, materialise, table, text_of
+from cellweave.llm.common import ASCII_LOWER, ASCII_UPPER, BROADCAST_ROWS, ascii_lower, fresh, materialise, table, text_of
 
 PREFIX = 128
 
@@ -53,6 +53,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "digest").withColumnRenamed("id", id_col)
 
 
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay; rows without an id always do. An id's other texts aren't touched."""
+    gone_id, gone_digest = fresh(docs, "copy_id", "copy_digest")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(gone_id), F.col("digest").alias(gone_digest)).distinct()
+    # only rows whose id is found are hashed again: the condition names both sides, so it isn't a join key
+    digest = F.when(F.col(gone_id).isNotNull(), F.sha2(ascii_lower(text_of(text_col)).cast("binary"), 256))
+    return docs.join(gone, (F.col(id_col) == F.col(gone_id)) & (digest == F.col(gone_digest)), "left_anti")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
     return out.withColumnRenamed("digest", "text_sha256")

@@ -21,7 +21,6 @@ repeat an id each get their own fingerprint's component. An empty table gives an
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,13 +80,11 @@ def fingerprint(text: str, n: int = 3, seed: int = SEED) -> int:
     return _packed(_bit_sums(np.array(hashes, "<u8")) * 2 > len(hashes))
 
 
-def word_fingerprint(ws: list[bytes], seed: int) -> int:
-    """Signed 64 bits over the distinct words, each with the root of its count as weight."""
-    if not ws:
+def weighted_fingerprint(hashes: np.ndarray, counts: np.ndarray) -> int:
+    """Signed 64 bits over distinct hashes, each with the root of its count as weight."""
+    if not len(hashes):
         return 0
-    counts = Counter(ws)
-    weights = np.sqrt(np.fromiter(counts.values(), "f4", len(counts)))
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in counts], "<u8")
+    weights = np.sqrt(counts.astype("f4"))
     return _packed(_bit_sums(hashes, weights) * 2 > weights.sum())
 
 
@@ -174,7 +171,8 @@ def links(fps: DataFrame, bits: int = 2, run: int = RUN) -> DataFrame:
     n = partitions(spark)
     shift = "cast(v div 32 * 32 as int)"
     key = f"shiftleft(cast(v as bigint), 32) | (shiftright(fp, {shift}) & 4294967295 & ~shiftleft(1L, v % 32))"
-    index = fps.select("fp").distinct().select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select(F.expr(key).alias("key"), "fp")
+    # dealt out anew, as few tasks hold the distinct fingerprints and each makes 64 rows
+    index = fps.select("fp").distinct().repartition(n).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select(F.expr(key).alias("key"), "fp")
     met = materialise(index.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_meet(bits, run), "a long, b long"))
     pairs = met.where("b is not null")
     crowded = met.where("b is null").select(F.col("a").alias("fp")).distinct()

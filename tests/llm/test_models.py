@@ -31,7 +31,9 @@ def test_quality_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     known = with_labels(spark, toxicity.op4_toxicity(spark, SF), "toxic")
     assert (known.held_out == held(known.doc_id, 5, 0)).all()
-    assert (known.predicted == known.toxic).mean() > 0.93
+    test = known[known.held_out]  # answering "clean" always would give 0.87
+    toxic, clean = test[test.toxic == 1], test[test.toxic == 0]
+    assert (test.predicted == test.toxic).mean() > 0.94 and (toxic.predicted == 1).mean() > 0.8 and (clean.predicted == 0).mean() > 0.95
 
 
 def test_language_on_held_out_rows(spark):

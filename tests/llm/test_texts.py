@@ -19,9 +19,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellweave.llm import bpe, exact_dedup, fingerprints, html_text, line_dedup, mixing, near_dup, queries, toxicity
+from cellweave.llm import bpe, exact_dedup, fingerprints, fit, html_text, line_dedup, mixing, queries, toxicity
 from conftest import SMALL
 from llm.data import ROWS, SCHEMA, docs, empty, labels
+from llm.test_dedup import brute_near
 from test_queries import TABLES, plain
 
 # ---------------------------------------------------------------- SQL twins
@@ -320,14 +321,40 @@ def test_a_rate_of_nothing(spark):
 # ---------------------------------------------------------------- pipeline
 
 
-def test_pipeline_against_brute_force(spark):
+def brute_copies(rows, seed=mixing.SEED):
+    """How often each row is in the mixture: for each source the Poisson quantile of a hash of the id."""
+    chars = Counter()
+    for r in rows:
+        chars[r["source"]] += len(r["text"] or "")
+    total, weight = sum(chars.values()), sum(c**mixing.POWER for c in chars.values())
+    out = Counter()
+    for r in rows:
+        c = chars[r["source"]]
+        rate = c**mixing.POWER / weight * total / c
+        u = int(hashlib.md5(f"{seed}:{r['doc_id']}".encode()).hexdigest()[:12], 16) / 2**48
+        k, term = 0, math.exp(-rate)
+        below = term
+        while below <= u:
+            k += 1
+            term *= rate / k
+            below += term
+        out[r["doc_id"]] += k
+    return +out
+
+
+def test_pipeline_against_brute_force(spark, tokenizer):
     """Each stage on the last one's rows, held against its own definition."""
     docs_in = spark.read.parquet(f"{SMALL}/documents.parquet")
     (_, toxic), (_, exact), (_, near), (_, mixed), (_, tokens) = corpus_pipeline.STAGES
     model = toxicity.train(docs_in, spark.read.parquet(f"{SMALL}/labels.parquet"))
-    scores = {r["id"]: r["score"] for r in toxicity.score(docs_in, model).collect()}
+    found = toxicity.automaton(model["lexicon"], model["exceptions"])
+
+    def score(text):
+        weight, hits = toxicity.matched(toxicity.fold(text or ""), found)
+        return fit.probability(model["calibration"], toxicity.features(np.array([weight]), np.array([hits]), np.array([len(text or "")])))[0]
+
     one = exact_dedup.materialise(toxic(spark, docs_in, SMALL))
-    assert {r["doc_id"] for r in one.collect()} == {i for i, s in scores.items() if s < 0.5}
+    assert {r["doc_id"] for r in one.collect()} == {r["doc_id"] for r in docs_in.collect() if score(r["text"]) < 0.5}
     two = exact_dedup.materialise(exact(spark, one, SMALL))
     best = {}
     for r in one.collect():
@@ -335,14 +362,15 @@ def test_pipeline_against_brute_force(spark):
         best[key] = max(best.get(key, -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(best.values())
     three = exact_dedup.materialise(near(spark, two, SMALL))
-    gone = {r["node"] for r in near_dup.near_duplicates(two).collect()}
-    assert {r["doc_id"] for r in three.collect()} == set(best.values()) - gone
-    for stage in (one, two, three):
+    gone = brute_near([(r["doc_id"], r["text"]) for r in two.collect()])
+    assert gone and sorted(r["doc_id"] for r in three.collect()) == sorted(set(best.values()) - gone)
+    four = exact_dedup.materialise(mixed(spark, three, SMALL))
+    for stage in (one, two, three, four):
         assert stage.columns == docs_in.columns
-    four = mixed(spark, three, SMALL)
-    assert four.columns == docs_in.columns and {r["doc_id"] for r in four.select("doc_id").distinct().collect()} <= {r["doc_id"] for r in three.collect()}
-    last = {(r["doc_id"], r["n_tokens"], len(r["ids"])) for r in tokens(spark, four, SMALL).collect()}
-    assert all(n == k for _, n, k in last) and corpus_pipeline.run(spark, SMALL).count() == four.count()
+    assert Counter(r["doc_id"] for r in four.collect()) == brute_copies(three.collect())
+    want = Counter((r["doc_id"], tuple(tokenizer.encode_ordinary(r["text"] or ""))) for r in four.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in tokens(spark, four, SMALL).collect()) == want
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SMALL).collect()) == want
 
 
 def test_messy_pipeline(spark, tmp_path):
