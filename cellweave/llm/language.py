@@ -5,9 +5,11 @@ to BUCKETS, with logarithmic term counts and unit length. Weights are trained wi
 follow-the-regularised-leader (proximal) under L1 and L2 penalties; a temperature
 fitted on rows that did not train them calibrates the probabilities.
 
-Fitting uses about SAMPLE_ROWS rows, dealt evenly to the languages (the LANGUAGES
-most frequent ones, by which the model's size has a bound) and taken by a hash of
-their id. Every row's whole text is predicted.
+Every `lang` value of a training row is learned. Where there are so many that BUCKETS
+weights of each would pass MODEL_CELLS, the n-grams are hashed to fewer buckets instead.
+Fitting uses about SAMPLE_ROWS rows, dealt evenly to the languages and taken by a hash of
+their id; fewer if they have more than SAMPLE_FEATURES features in all. Every row's whole
+text is predicted.
 
 Defined results: a null text, an empty one and one without a letter are `und` with
 score 0. Without any training row all texts are `und`. A row with a null id has
@@ -24,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import held_out, pieces, table, text_of
+from cellweave.llm.common import discard, held_out, materialise, pieces, table, text_of
 
 FOLD = (5, 0)
-SAMPLE_ROWS = 3000
-LANGUAGES = 400
-BUCKETS = 1 << 15
+SAMPLE_ROWS, SAMPLE_FEATURES = 3000, 20_000_000
+BUCKETS, MODEL_CELLS = 1 << 15, 1 << 24
 ORDERS = (1, 2, 3)
 #: Code points worked on at once.
 STRETCH = 1 << 20
@@ -42,33 +43,41 @@ UNKNOWN = "und"
 @cache
 def _letters() -> np.ndarray:
     """Of each code point whether it is a letter."""
-    known = np.zeros(0x110000, bool)
-    known[: 0xD800] = np.fromiter((chr(c).isalpha() for c in range(0xD800)), bool, 0xD800)
-    known[0xE000:0x32000] = np.fromiter((chr(c).isalpha() for c in range(0xE000, 0x32000)), bool, 0x32000 - 0xE000)
-    return known
-
-
-def counts(text: str) -> np.ndarray | None:
-    """How often each bucket's n-grams occur; None without a letter. All that is no letter counts as a space, runs of it as one."""
-    known, total, any_letter = _letters(), np.zeros(BUCKETS, "i8"), False
-    overlap = max(ORDERS) - 1
-    for at in range(0, len(text) or 1, STRETCH):
-        begin = max(0, at - overlap)
-        c = np.frombuffer(text[begin : at + STRETCH].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def buckets_for(languages: int) -> int:
+    """A power of two."""
+    return 1 << max(8, min(BUCKETS.bit_length(), (MODEL_CELLS // max(languages, 1)).bit_length()) - 1)
+
+
+def counts(text: str, buckets: int = BUCKETS, stretch: int = STRETCH) -> np.ndarray | None:
+    """How often each bucket's n-grams occur; None without a letter. All that is no letter counts as a space, runs of it as one; a space stands before and after the text."""
+    known, total, any_letter = _letters(), np.zeros(buckets, "i8"), False
+    text = text.lower()
+    carry, space = np.zeros(0, "u8"), True  # the code points that n-grams of the next stretch begin in, and whether the last code point was no letter
+    shift = np.uint64(65 - buckets.bit_length())
+    for at in range(0, len(text) or 1, stretch):
+        c = np.frombuffer(text[at : at + stretch].encode("utf-32-le", "surrogatepass"), "<u4")
         is_letter = known[c]
-        if not is_letter.any():
-            continue
-        any_letter = True
-        c = np.where(is_letter, c, 32).astype("u8")
-        keep = np.ones(len(c), bool)
-        keep[1:] = is_letter[1:] | is_letter[:-1]
-        c = np.concatenate(([32], c[keep], [32])).astype("u8")
-        code = np.zeros(len(c), "u8")
-        for n in range(1, max(ORDERS) + 1):
-            code = code[: len(c) - n + 1] * np.uint64(1_000_003) + c[n - 1 :]
-            if n in ORDERS:
-                mixed = (code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) >> np.uint64(64 - 15)
-                total += np.bincount(mixed.astype("i8"), minlength=BUCKETS)
+        any_letter = any_letter or bool(is_letter.any())
+        keep = is_letter | ~np.append(space, ~is_letter[:-1]) if len(c) else is_letter
+        new = np.where(is_letter, c, 32).astype("u8")[keep]
+        if len(c):
+            space = not is_letter[-1]
+        if not at:
+            new = np.append(np.uint64(32), new)
+        if at + stretch >= len(text) and not space:
+            new = np.append(new, np.uint64(32))
+        code = np.concatenate((carry, new))
+        first = len(carry)  # n-grams that end before it are counted already
+        for n in ORDERS:
+            begin = max(0, first - n + 1)
+            x = code[begin : len(code) - n + 1] if len(code) - n + 1 > begin else code[:0]
+            for k in range(1, n):
+                x = x * np.uint64(1_000_003) + code[begin + k : begin + k + len(x)]
+            total += np.bincount(((x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) >> shift).astype("i8"), minlength=buckets)
+        carry = code[len(code) - min(len(code), max(ORDERS) - 1) :]
     return total if any_letter else None
 
 
@@ -79,18 +88,22 @@ def vector(total: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, value / (np.sqrt(value @ value) or 1.0)
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, part, text to lang, part, at, n: buckets and counts."""
-    for b in pieces(batches, "text"):
-        langs, parts, texts = (b.column(i).to_pylist() for i in range(3))
-        rows = [(lang, part, at, c[at]) for lang, part, t in zip(langs, parts, texts, strict=True) if (c := counts(t)) is not None for at in [np.flatnonzero(c)]]
-        kinds = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["lang", "part", "at", "n"])
+def _featured(buckets: int):
+    """lang, part, draw, text to lang, part, draw, at, n: buckets and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            langs, parts, draws, texts = (b.column(i).to_pylist() for i in range(4))
+            rows = [(lang, part, draw, at, c[at]) for lang, part, draw, t in zip(langs, parts, draws, texts, strict=True) if (c := counts(t, buckets)) is not None for at in [np.flatnonzero(c)]]
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["lang", "part", "draw", "at", "n"])
+
+    return run
 
 
-def follow_the_regularised_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (BUCKETS + 1, classes) of rows (buckets, values, class); the last is the constant's."""
-    z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
+def follow_the_regularised_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, buckets: int = BUCKETS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights (buckets + 1, classes) of rows (buckets, values, class); the last is the constant's."""
+    z, n = np.zeros((buckets + 1, classes)), np.zeros((buckets + 1, classes))
     random = np.random.default_rng(7)
 
     def weights(at):
@@ -100,7 +113,7 @@ def follow_the_regularised_leader(rows: list[tuple[np.ndarray, np.ndarray, int]]
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
             at, value, y = rows[i]
-            at, value = np.append(at, BUCKETS), np.append(value, 1.0)
+            at, value = np.append(at, buckets), np.append(value, 1.0)
             w = weights(at)
             logits = value @ w
             p = np.exp(logits - logits.max())
@@ -110,7 +123,7 @@ def follow_the_regularised_leader(rows: list[tuple[np.ndarray, np.ndarray, int]]
             n_new = n[at] + g * g
             z[at] += g - (np.sqrt(n_new) - np.sqrt(n[at])) / ALPHA * w
             n[at] = n_new
-    return weights(np.arange(BUCKETS + 1))
+    return weights(np.arange(buckets + 1))
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -130,31 +143,36 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, fold: tuple[int, int] = FOLD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict:
     """languages, idf, weights, temperature."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id", *fold))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return {"languages": [], "idf": None, "weights": None, "temperature": 1.0}
+    buckets = buckets_for(len(languages))
     each = max(8, sample_rows // len(languages))
     drawn = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in sizes], "lang string, share double")
-    picked = usable.withColumn("drawn", drawn).join(F.broadcast(shares), "lang").where("drawn < share")
+    picked = usable.withColumn("drawn", drawn).join(F.broadcast(shares), "lang")  # a row for each language.where("drawn < share")
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5)).cast("int")
-    rows = picked.select("lang", part.alias("part"), "text").mapInArrow(_featured, "lang string, part int, at array<int>, n array<long>").toArrow()
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    found = materialise(picked.select("lang", part.alias("part"), draw.alias("draw"), "text").mapInArrow(_featured(buckets), "lang string, part int, draw double, at array<int>, n array<long>"))
+    features = found.agg(F.sum(F.size("at"))).first()[0] or 0
+    rows = found.where(F.col("draw") < SAMPLE_FEATURES / max(features, 1)).drop("draw").toArrow()
+    discard(found)
     langs, parts = (rows.column(c).to_pylist() for c in ("lang", "part"))
     ats, ns = ([x.values.to_numpy() for x in rows.column(c)] for c in ("at", "n"))
     if not langs:
         return {"languages": [], "idf": None, "weights": None, "temperature": 1.0}
     order = np.lexsort(([int(n.sum()) for n in ns], [int((a.astype("i8") * n).sum()) for a, n in zip(ats, ns, strict=True)], langs))  # whatever order tasks end in
-    seen = np.bincount(np.concatenate(ats), minlength=BUCKETS)
+    seen = np.bincount(np.concatenate(ats), minlength=buckets)
     idf = np.log((1 + len(langs)) / (1 + seen)) + 1
     number = {lang: i for i, lang in enumerate(languages)}
     vectors = []
     for i in order:
         value = np.log1p(ns[i]) * idf[ats[i]]
         vectors.append((parts[i], (ats[i].astype("i8"), value / np.sqrt(value @ value), number[langs[i]])))
-    weights = follow_the_regularised_leader([v for p, v in vectors if p] or [v for _, v in vectors], len(languages))
+    weights = follow_the_regularised_leader([v for p, v in vectors if p] or [v for _, v in vectors], len(languages), buckets)
     rest = [v for p, v in vectors if not p]
-    logits = np.array([value @ weights[at] + weights[BUCKETS] for at, value, _ in rest]).reshape(len(rest), len(languages))
+    logits = np.array([value @ weights[at] + weights[buckets] for at, value, _ in rest]).reshape(len(rest), len(languages))
     return {"languages": languages, "idf": idf, "weights": weights.astype("f4"), "temperature": temperature(logits, np.array([y for *_, y in rest], int))}
 
 
@@ -164,11 +182,11 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     languages, idf, weights, heat = model["languages"], model["idf"], model["weights"], model["temperature"]
 
     def one(text: str) -> tuple[str, float]:
-        total = counts(text) if languages else None
+        total = counts(text, len(weights) - 1) if languages else None
         if total is None:
             return UNKNOWN, 0.0
         at, value = vector(total, idf)
-        logits = (value @ weights[at] + weights[BUCKETS]) / heat
+        logits = (value @ weights[at] + weights[-1]) / heat
         p = np.exp(logits - logits.max())
         k = int(np.argmax(p))
         return languages[k], float(p[k] / p.sum())
