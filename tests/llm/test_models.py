@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cellweave.llm import fit, language, quality, toxicity
-from llm.data import ROWS, docs, empty, labels
+from llm.data import ROWS, SCHEMA, docs, empty, labels
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,11 +29,26 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    known = with_labels(spark, toxicity.op4_toxicity(spark, SF), "toxic")
+    sf = SF.replace("0.01", "0.1")  # enough toxic rows are held out there
+    known = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").toPandas()
     assert (known.held_out == held(known.doc_id, 5, 0)).all()
-    test = known[known.held_out]  # answering "clean" always would give 0.87
+    test = known[known.held_out]  # answering "clean" always would give 0.88
     toxic, clean = test[test.toxic == 1], test[test.toxic == 0]
-    assert (test.predicted == test.toxic).mean() > 0.94 and (toxic.predicted == 1).mean() > 0.8 and (clean.predicted == 0).mean() > 0.95
+    assert (test.predicted == test.toxic).mean() > 0.97 and (toxic.predicted == 1).mean() > 0.9 and (clean.predicted == 0).mean() > 0.98
+
+
+def test_toxicity_learns_exceptions(spark):
+    """An entry that toxic rows use alone and clean ones in one phrase only."""
+    filler = "some quite ordinary words stand here for the length of it".split()
+    text = lambda i, *more: " ".join([*(filler[(i + k) % len(filler)] for k in range(8)), f"w{i}", *more, filler[i % 5]])
+    rows = [(i, text(i, "you", "trash") if i % 2 else text(i, "the", "trash", "can") if i % 8 == 2 else text(i), "en", "s", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.train(df, labels(spark, [(i, 0, i % 2) for i in range(400)]))
+    assert "trash can" in model["exceptions"] and "you trash" not in model["exceptions"]
+    found = toxicity.automaton(model["lexicon"], model["exceptions"])
+    assert toxicity.matched("put it in the trash can here", found)[0] < toxicity.matched("put it in you trash here", found)[0]
+    without = toxicity.automaton(model["lexicon"])
+    assert toxicity.matched("the trash can", without)[0] > toxicity.matched("the trash can", found)[0]
 
 
 def test_language_on_held_out_rows(spark):
@@ -81,12 +96,27 @@ def test_ngram_counts_against_brute_force():
     assert language.counts("12 !") is None and language.counts("") is None
 
 
-def test_long_texts_are_counted_whole(monkeypatch):
-    text = "word " * 400 + "zz"
-    whole = language.counts(text)
-    monkeypatch.setattr(language, "STRETCH", 512)
-    # stretches overlap, so that no n-gram is lost at their seams
-    assert (language.counts(text) >= whole).all() and language.counts(text).sum() < whole.sum() * 1.05
+@pytest.mark.parametrize("text", ["word " * 400 + "zz", "a  b!c", " é ", "ab" * 50 + "  !! "])
+@pytest.mark.parametrize("stretch", [1, 2, 3, 64])
+def test_stretches_change_nothing(text, stretch):
+    assert (language.counts(text, stretch=stretch) == language.counts(text)).all()
+
+
+def test_letters_of_late_planes_count():
+    assert language.counts(chr(0x323AF)) is not None and language.counts("1" * 5) is None
+
+
+def test_every_language_is_learned(spark):
+    """More languages than keep all buckets: none is left out, and the model stays in its bounds."""
+    known = [f"l{i}" for i in range(600)]
+    rng = np.random.default_rng(5)
+    own = [" ".join("".join(chr(0x4E00 + 30 * i + k) for k in rng.integers(0, 30, 6)) for _ in range(5)) for i in range(600)]
+    df = spark.createDataFrame([(6 * i + k, own[i], known[i], "s", 1) for i in range(600) for k in range(6)], SCHEMA)
+    model = language.train(df)
+    assert model["languages"] == sorted(known) and model["weights"].size <= language.MODEL_CELLS + 600
+    some = df.where("doc_id % 60 = 0").collect()
+    got = {r["id"]: r["lang_pred"] for r in language.predict(df.where("doc_id % 60 = 0"), model).collect()}
+    assert sum(got[r["doc_id"]] == r["lang"] for r in some) > 0.9 * len(some)
 
 
 def test_regularisation_makes_weights_sparse():
