@@ -88,18 +88,23 @@ def hill_denominator(hill: DataFrame, band: str = "hill", dtype: str = "float32"
     return 1.0 if top is None or top <= 1.5 else 255.0
 
 
-def tone(hill: Column | str, options: Shading, denominator: Column | float = 255.0) -> Column:
-    """The hillshade on 0..1 after floor, gamma and ceiling."""
-    h = clip(col(hill).cast("double") / num(denominator), 0.0, 1.0)
+def tone_of(x: Column, options: Shading) -> Column:
+    """A hillshade on 0..1 after floor, gamma and ceiling."""
+    h = clip(x, 0.0, 1.0)
     if options.hill_floor > 0 or options.hill_gamma != 1 or options.hill_ceil < 1:
         lifted = h if options.hill_gamma == 1 else F.pow(h, F.lit(float(options.hill_gamma)))
         h = options.hill_floor + (1.0 - options.hill_floor) * lifted
         if options.hill_ceil < 1:
-            h = F.least(h, F.lit(float(options.hill_ceil)))
+            h = F.when(h.isNotNull(), F.least(h, F.lit(float(options.hill_ceil))))
         h = clip(h, 0.0, 1.0)
     return h
 
 
+def tone(hill: Column | str, options: Shading, denominator: Column | float = 255.0) -> Column:
+    """The hillshade on 0..1 after scaling, floor, gamma and ceiling."""
+    return tone_of(col(hill).cast("double") / num(denominator), options)
+
+
 def shade_factor(hill: Column | str, options: Shading = Shading(), denominator: Column | float = 255.0) -> Column:
     """What colors are multiplied with; shadows and highlights are protected by a weight that lifts it to 1."""
     h = tone(hill, options, denominator)
@@ -110,10 +115,26 @@ def shade_factor(hill: Column | str, options: Shading = Shading(), denominator:
 
 
 def shade(pixels: DataFrame, hill: str = "hill", bands: Sequence[str] = ("r", "g", "b"), options: Shading = Shading(), denominator: Column | float = 255.0, nodata: float | None = None) -> DataFrame:
-    """Bands of one table shaded by its hillshade column; where that is null or nodata, nothing is shaded. Other columns stay."""
+    """Bands of one table shaded by its hillshade column; where that is null or nodata, nothing is shaded. Other columns stay.
+
+    What shade_factor gives, in steps that are each used several times and so stay
+    projections of their own: written as one expression, the generated method is
+    too large for the JVM to compile.
+    """
     unknown = F.col(hill).isNull() if nodata is None else F.col(hill).isNull() | (F.col(hill) == nodata)
-    factor = F.when(unknown, F.lit(1.0)).otherwise(shade_factor(hill, options, denominator))
-    return pixels.withColumn("__m", factor).withColumns({x: to_byte(F.col("__m") * F.col(x)) for x in bands}).drop("__m")
+    o = options
+    (s0, s1), (h0, h1) = ((x / 255.0, y / 255.0) for x, y in (o.shadow_range, o.highlight_range))
+    step = lambda low, high: F.lit(0.0) if low == high else clip((F.col("__h") - low) / (high - low), 0.0, 1.0)
+    smooth = lambda t: F.col(t) * F.col(t) * (3.0 - F.col(t) * 2.0)
+    staged = pixels.withColumn("__x", F.col(hill).cast("double") / num(denominator)).withColumn("__h", tone_of(F.col("__x"), o))
+    staged = staged.withColumns({"__s": step(s0, s1), "__t": step(h0, h1)})
+    staged = staged.withColumn("__w", F.greatest((1.0 - smooth("__s")) * o.protect_shadows, smooth("__t") * o.protect_highlights))
+    staged = staged.withColumn("__l", F.col("__h") + F.col("__w") * (1.0 - F.col("__h")))
+    staged = staged.withColumn("__f", (1.0 - o.shade_strength) + o.shade_strength * clip(F.col("__l"), 0.0, 1.0))
+    staged = staged.withColumn("__m", F.when(unknown, F.lit(1.0)).otherwise(clip(F.col("__f"), 0.0, 1.0)))
+    for x in bands:
+        staged = staged.withColumn(f"__b_{x}", F.col("__m") * F.col(x))
+    return staged.withColumns({x: to_byte(F.col(f"__b_{x}")) for x in bands}).drop("__x", "__h", "__s", "__t", "__w", "__l", "__f", "__m", *(f"__b_{x}" for x in bands))
 
 
 def hillshade_blend(hill: DataFrame, color: DataFrame, band: str = "hill", bands: Sequence[str] = ("r", "g", "b"), alpha: str | None = None, options: Shading = Shading(), dtype: str = "uint8", nodata: float | None = None, fill: bool = False, keys: Iterable[str] = CELL, check: bool = False) -> DataFrame:

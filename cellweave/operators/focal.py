@@ -110,10 +110,12 @@ def squared_distance(pixels: DataFrame, feature: Column, keys: Iterable[str] = (
     spark = pixels.sparkSession
     narrow = _column_distance(pixels.select(*keys, "row", "col", feature.alias("__f")), F.col("__f"), keys).drop("__f")
     if radius is not None and radius <= WINDOW_RADIUS:
-        line = Window.partitionBy(*keys, "row").orderBy("col").rangeBetween(-radius, radius)
-        near = F.collect_list(F.struct("col", "g")).over(line)
-        c = F.col("col")
-        found = narrow.withColumn("d2", F.array_min(F.transform(near, lambda x: (x["col"] - c) * (x["col"] - c) + x["g"] * x["g"])))
+        # the 2 * radius + 1 pixels around hold all within the radius, however many are missing
+        line = Window.partitionBy(*keys, "row").orderBy("col")
+        around = narrow.withColumns({f"__{x}{k}": F.lag(x, k).over(line) for k in range(-radius, radius + 1) if k for x in ("col", "g")})
+        across = lambda k: F.col(f"__col{k}").cast("long") - F.col("col")
+        away = [across(k) * across(k) + F.col(f"__g{k}") * F.col(f"__g{k}") for k in range(-radius, radius + 1) if k]
+        found = around.withColumn("d2", F.least(F.col("g") * F.col("g"), *away) if away else F.col("g") * F.col("g"))
         return found.select(*keys, "row", "col", F.when(F.col("d2") <= radius * radius, F.col("d2")).alias("d2"))
     key = F.to_json(F.struct(*keys)) if keys else F.lit("")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -132,24 +132,33 @@ def update_line(ramp: DataFrame, row_ix: int, elev: float, colors: Iterable[int]
 
 
 def color_relief(pixels: DataFrame, ramp: DataFrame, elevation: str = "elev", prefix: str = "", rounded: bool = True) -> DataFrame:
-    """pixels with r, g, b: linear between the stops around the elevation, the end stops' colors outside.
+    """pixels with r, g, b: linear between the stops around the elevation, the end stops' colors outside, null without one.
 
-    The stops become one literal array, searched by a filter over it: no join, no shuffle.
+    The stops become literal arrays. Their place is found by halving, a projection for
+    each halving, so that the generated code grows with the logarithm of the stops: no
+    join, no shuffle.
     """
-    stops = [r.asDict() for r in ramp.where("is_data").select("elev", "r", "g", "b", "line_no").collect()]
+    stops = [r.asDict() for r in ramp.where("is_data").select("elev", "r", "g", "b", "line_no").collect()]  # a ramp is a small table by nature
     stops.sort(key=lambda s: (s["elev"], s["line_no"]))
     if not stops:
         raise ValueError("the ramp has no stop")
-    e = col(elevation).cast("double")
-    out = {}
+    size = 1 << len(stops).bit_length()
+    heights = F.array(*(F.lit(float(s["elev"])) for s in stops), *(F.lit(float("inf")) for _ in range(size - len(stops))))
+    staged = pixels.withColumns({"__e": col(elevation).cast("double"), "__i": F.lit(0)})
+    half = size >> 1
+    while half:  # __i: how many stops are at most as high
+        staged = staged.withColumn("__i", F.col("__i") + F.when((F.col("__e") >= F.element_at(heights, F.col("__i") + half)) & (F.col("__i") + half <= len(stops)), F.lit(half)).otherwise(F.lit(0)))
+        half >>= 1
+    at = lambda name, i: F.element_at(F.array(*(F.lit(float(s[name])) for s in stops)), i)
+    low, high = F.greatest(F.col("__i"), F.lit(1)), F.least(F.col("__i") + 1, F.lit(len(stops)))
+    staged = staged.withColumns({"__a": F.when(F.col("__e") <= stops[0]["elev"], F.lit(1)).otherwise(low), "__z": F.when(F.col("__e") <= stops[0]["elev"], F.lit(1)).otherwise(high)})
+    staged = staged.withColumns({"__l": at("elev", F.col("__a")), "__h": at("elev", F.col("__z"))})
+    staged = staged.withColumn("__t", F.when(F.col("__h") > F.col("__l"), (F.col("__e") - F.col("__l")) / (F.col("__h") - F.col("__l"))).when(F.col("__e").isNotNull(), F.lit(0.0)))
     for c in "rgb":
-        value = F.lit(float(stops[-1][c]))
-        for low, high in reversed(list(zip(stops, stops[1:], strict=False))):
-            if high["elev"] > low["elev"]:
-                value = F.when(e < high["elev"], lerp(float(low[c]), float(high[c]), (e - low["elev"]) / (high["elev"] - low["elev"]))).otherwise(value)
-        value = F.when(e <= stops[0]["elev"], F.lit(float(stops[0][c]))).otherwise(value)
-        out[f"{prefix}{c}"] = F.rint(value).cast("int") if rounded else value
-    return pixels.withColumns(out)
+        staged = staged.withColumns({f"__a{c}": at(c, F.col("__a")), f"__z{c}": at(c, F.col("__z"))})
+    value = {c: F.col(f"__a{c}") + (F.col(f"__z{c}") - F.col(f"__a{c}")) * F.col("__t") for c in "rgb"}
+    out = staged.withColumns({f"{prefix}{c}": F.rint(v).cast("int") if rounded else v for c, v in value.items()})
+    return out.drop("__e", "__i", "__a", "__z", "__l", "__h", "__t", *(f"__{x}{c}" for x in "az" for c in "rgb"))
 
 
 def ramp_settings(config: dict, name: str) -> tuple[str, dict | None]:
