@@ -287,15 +287,38 @@ def tile_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HALF = 20037508.342789244
+#: Means of what falls into a pixel for the zooms that are coarser than the raster, and its pixel under the centre for the finer ones.
+TILED = f"""{LAYERS}, size AS (SELECT max(row) + 1 AS h FROM layers),
+coarse AS (SELECT zoom, 2 * {_HALF}::DOUBLE / (256 << zoom) AS res FROM (VALUES (12), (13)) z(zoom)), fine AS (SELECT zoom, 2 * {_HALF}::DOUBLE / (256 << zoom) AS res FROM (VALUES (14), (15)) z(zoom)),
+mean AS (SELECT zoom, floor((((col + 0.5::DOUBLE) * 10.0::DOUBLE + 1000.0::DOUBLE) + {_HALF}::DOUBLE) / res)::BIGINT AS gx, floor(({_HALF}::DOUBLE - ((row + 0.5::DOUBLE) * -10.0::DOUBLE + 9000.0::DOUBLE)) / res)::BIGINT AS gy, round_even(avg(a1), 0)::INTEGER AS a1 FROM layers, coarse GROUP BY ALL),
+across AS (SELECT zoom, res, unnest(generate_series(floor((1000.0::DOUBLE + {_HALF}::DOUBLE) / res)::BIGINT, floor((1640.0::DOUBLE + {_HALF}::DOUBLE) / res)::BIGINT)) AS gx FROM fine),
+down AS (SELECT zoom, unnest(generate_series(floor(({_HALF}::DOUBLE - 9000.0::DOUBLE) / res)::BIGINT, floor(({_HALF}::DOUBLE - (9000.0::DOUBLE - 10.0::DOUBLE * h)) / res)::BIGINT)) AS gy FROM fine, size),
+target AS (SELECT zoom, gx, gy, floor(((gx + 0.5::DOUBLE) * res - {_HALF}::DOUBLE - 1000.0::DOUBLE) / 10.0::DOUBLE)::BIGINT AS col, floor(({_HALF}::DOUBLE - (gy + 0.5::DOUBLE) * res - 9000.0::DOUBLE) / -10.0::DOUBLE)::BIGINT AS row FROM across JOIN down USING (zoom)),
+under AS (SELECT zoom, gx, gy, a1 FROM target JOIN layers USING (row, col)),
+tiled AS (SELECT zoom, (gx // 256)::INTEGER AS tile_column, (gy // 256)::INTEGER AS tile_row, (gy % 256)::INTEGER AS row, (gx % 256)::INTEGER AS col, a1 FROM (SELECT * FROM mean UNION ALL SELECT * FROM under))"""
+
+
+@query(f"WITH {TILED} SELECT * FROM tiled")
+def tile_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two zooms coarser and two finer than the raster."""
+    return geometric.tile_pyramid(layers(spark, sf_dir), grid(spark, sf_dir), ("a1",), 12, 15)
 
 
-@query(
-    f"""WITH {LAYERS}, z(zoom) AS (VALUES (12), (13), (14)), g AS (
-SELECT zoom, floor((((col + 0.5::DOUBLE) * 10.0::DOUBLE + 1000.0::DOUBLE) + {_HALF}::DOUBLE) / (2 * {_HALF}::DOUBLE / (256 << zoom)))::BIGINT AS gx, floor(({_HALF}::DOUBLE - ((row + 0.5::DOUBLE) * -10.0::DOUBLE + 9000.0::DOUBLE)) / (2 * {_HALF}::DOUBLE / (256 << zoom)))::BIGINT AS gy, a1 FROM layers, z)
-SELECT zoom, (gx // 256)::INTEGER AS tile_column, (gy // 256)::INTEGER AS tile_row, (gy % 256)::INTEGER AS row, (gx % 256)::INTEGER AS col, round_even(avg(a1), 0)::INTEGER AS a1 FROM g GROUP BY zoom, gx, gy"""
-)
-def tile_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometric.tile_pyramid(layers(spark, sf_dir), grid(spark, sf_dir), ("a1",), 12, 14)
+#: A template in degrees over a part of the raster, whose metres are those of web Mercator.
+_DEGREES = geometric.Grid(0.0095, 0.079, 0.0001, -0.00015, 45, 250, "EPSG:4326")
+_IN_DEGREES = f"""{PX}, target AS (SELECT r::INTEGER AS row, c::INTEGER AS col, ((c + 0.5::DOUBLE) * 0.0001::DOUBLE + 0.0095::DOUBLE) * {_HALF / 180.0!r}::DOUBLE AS x,
+  ln(tan(radians((r + 0.5::DOUBLE) * -0.00015::DOUBLE + 0.079::DOUBLE) / 2 + pi() / 4)) * {_HALF}::DOUBLE / pi() AS y FROM generate_series(0, 249) a(r), generate_series(0, 44) b(c))"""
+
+
+@query(f"WITH {_IN_DEGREES} SELECT t.row, t.col, v FROM target t JOIN px p ON p.row = floor((y - 9000.0) / -10.0)::INTEGER AND p.col = floor((x - 1000.0) / 10.0)::INTEGER")
+def align_reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source in metres on a template in degrees."""
+    return geometric.align(px(spark, sf_dir), grid(spark, sf_dir), _DEGREES, method="nearest")
+
+
+@query(f"WITH {_TEMPLATE}, placed AS (SELECT floor(((row + 0.5::DOUBLE) * -10.0::DOUBLE + 9000.0::DOUBLE - 8995.0::DOUBLE) / -16.0::DOUBLE)::INTEGER AS row, floor(((col + 0.5::DOUBLE) * 10.0::DOUBLE + 1000.0::DOUBLE - 1003.0::DOUBLE) / 16.0::DOUBLE)::INTEGER AS col, v FROM px) SELECT row, col, round(quantile_cont(v, 0.5), 9) AS v FROM placed, size WHERE row BETWEEN 0 AND h * 10 // 16 - 3 AND col BETWEEN 0 AND 37 GROUP BY row, col")
+def align_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometric.align(px(spark, sf_dir), grid(spark, sf_dir), _template(spark, sf_dir), method="med").withColumn("v", F.round("v", 9))
 
 
 # ---------------------------------------------------------------- neighbourhood
