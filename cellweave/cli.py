@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.functions.crs import transform, ways
 from cellweave.functions.expr import to_byte
 from cellweave.operators import blend, catalog, focal, geometric, ramp, reclassify
 from cellweave.sources import geotiff, tiff, tiles
@@ -54,17 +55,24 @@ def bands_of(header: tiff.Header) -> list[str]:
     return [f"b{i + 1}" for i in range(header.count)]
 
 
+def compression_of(name: str) -> int:
+    """The number of a compression by its name. Those without an encoder here are replaced by deflate, which loses nothing, with a warning."""
+    found = tiff.COMPRESSIONS.get(name.lower())
+    if found is None:
+        print(f"warning: no encoder for COMPRESS={name}; written with deflate, without loss", file=sys.stderr)
+    return found or tiff.COMPRESSIONS["deflate"]
+
+
 def out_header(like: tiff.Header, options: list[str] | None = None, **changes) -> tiff.Header:
     """A tiled header like an input's, with creation options KEY=VALUE."""
-    kind = like.compression if like.compression in (1, 8, 50000) else 8
+    kind = like.compression if like.compression in tiff.COMPRESSIONS.values() else 8
     h = replace(like, block=(256, 256), tiled=True, planar=1, predictor=1, compression=kind, order="<", offsets=[], sizes=[], colormap={}, **changes)
     given = {k.lower(): v for k, _, v in (o.partition("=") for o in options or []) if v}
     check = catalog.conflicts(given | {"__dtype": h.dtype})
     if check:
         raise ValueError(check)
-    if (name := given.get("compress", "").lower()) in tiff.COMPRESSIONS:
-        wanted = tiff.COMPRESSIONS[name]
-        h.compression = wanted if wanted in (1, 8, 50000) else 8  # LZW and PackBits are written as deflate, also lossless
+    if "compress" in given:
+        h.compression = compression_of(given["compress"])
     h.predictor = int(given.get("predictor", h.predictor))
     if "blockxsize" in given or "blockysize" in given:
         h.block = (int(given.get("blockysize", 256)), int(given.get("blockxsize", 256)))
@@ -130,8 +138,7 @@ def reclassify_raster(a: argparse.Namespace) -> None:
     nodata = [int(like.nodata)] if like.nodata is not None and like.nodata == like.nodata else []
     classed = reclassify.reclassify(pixels_of(spark, a.input).select("row", "col", F.col("b1").alias("code")), config, input_nodata=nodata).persist()
     try:
-        kind = tiff.COMPRESSIONS.get(o.compress.lower(), 8)
-        h = replace(out_header(like, dtype="uint8", count=1, nodata=float(o.nodata_value)), compression=kind if kind in (1, 8, 50000) else 8, block=(o.tile_size, o.tile_size))
+        h = replace(out_header(like, dtype="uint8", count=1, nodata=float(o.nodata_value)), compression=compression_of(o.compress), block=(o.tile_size, o.tile_size))
         colors = {r["value"]: (r["r"], r["g"], r["b"]) for r in reclassify.palette(spark, config).collect()} if any(r.rgb for r in config.rules) else {}
         geotiff.write_raster(classed, a.output, replace(h, colormap=colors, photometric=3 if colors else 1), ["class"])
         if o.write_alpha:
@@ -204,8 +211,7 @@ def blur(a: argparse.Namespace) -> None:
     if like.count != 1:
         raise ValueError(f"the mask needs one band, not {like.count}")
     alpha = focal.edge_feather(pixels_of(session(), a.input), "b1", a.sigma, a.truncate, a.tile_size)
-    kind = tiff.COMPRESSIONS.get(a.compress.lower(), 8)
-    h = replace(out_header(like, dtype="uint8", nodata=None), compression=kind if kind in (1, 8, 50000) else 8, block=(a.tile_size, a.tile_size))
+    h = replace(out_header(like, dtype="uint8", nodata=None), compression=compression_of(a.compress), block=(a.tile_size, a.tile_size))
     geotiff.write_raster(alpha, a.output, h, ["alpha"], sparse=0)
 
 
@@ -272,15 +278,14 @@ def create_subset(a: argparse.Namespace) -> None:
 def _align_args(p: argparse.ArgumentParser) -> None:
     for name in ("source", "template", "output"):
         p.add_argument(name)
-    p.add_argument("-r", "--resampling-method", default="bilinear", choices=["near", "nearest", "bilinear", "cubic", "average", "mode"])
+    p.add_argument("-r", "--resampling-method", default="bilinear", choices=geometric.METHODS)
     _co(p)
 
 
 @command("align_raster", _align_args)
 def align_raster(a: argparse.Namespace) -> None:
     hs, ht = header_of(a.source), header_of(a.template)
-    method = {"near": "nearest"}.get(a.resampling_method, a.resampling_method)
-    out = geometric.align(pixels_of(session(), a.source), geotiff.grid_of(hs), geotiff.grid_of(ht), bands_of(hs), method, hs.nodata)
+    out = geometric.align(pixels_of(session(), a.source), geotiff.grid_of(hs), geotiff.grid_of(ht), bands_of(hs), a.resampling_method, hs.nodata)
     if hs.dtype.startswith(("uint", "int")):
         top = blend.LARGEST.get(hs.dtype, 2.0**53)
         out = out.withColumns({b: F.greatest(F.lit(0.0 if hs.dtype[0] == "u" else -top - 1), F.least(F.lit(top), F.rint(b))) for b in bands_of(hs)})
@@ -302,20 +307,20 @@ def create_mbtiles(a: argparse.Namespace) -> None:
     like = header_of(a.input)
     guard_output(a.output, a.overwrite, a.input)
     g = geotiff.grid_of(like)
-    if g.crs != "EPSG:3857":
-        raise ValueError(f"tiles need a raster in EPSG:3857, not {g.crs or 'an unknown CRS'}")
+    ways(g.crs)  # fails for a CRS that isn't known
+    method = a.resampling.lower()
+    if method not in geometric.METHODS:
+        raise ValueError(f"unknown resampling {a.resampling}")
     spark = session()
     catalog.require_options(spark, ["gdal_translate", "-of", "MBTILES", *(x for o in a.co for x in ("-co", o))])
-    top = geometric.mercator_zoom(g) if a.max_zoom is None else a.max_zoom
+    top = geometric.native_zoom(g) if a.max_zoom is None else a.max_zoom
     low = max(0, top - len(a.levels)) if a.min_zoom is None else a.min_zoom
     names = bands_of(like)
-    made = tiles.encode_tiles(geometric.tile_pyramid(pixels_of(spark, a.input), g, names, low, top), names)
-    xmin, ymin, xmax, ymax = g.extent
-    import math
-
-    lon = lambda x: x / geometric.MERCATOR * 180.0
-    lat = lambda y: math.degrees(2 * math.atan(math.exp(y / geometric.MERCATOR * math.pi)) - math.pi / 2)
-    about = {"name": Path(a.output).stem, "type": "overlay", "version": "1.1", "description": Path(a.output).stem, "bounds": ",".join(f"{v:.9f}" for v in (lon(xmin), lat(ymin), lon(xmax), lat(ymax)))}
+    made = tiles.encode_tiles(geometric.tile_pyramid(pixels_of(spark, a.input), g, names, low, top, method=method, nodata=like.nodata), names)
+    xmin, ymin, xmax, ymax = geometric.mercator_extent(g)
+    corners = spark.createDataFrame([(xmin, ymin), (xmax, ymax)], "x double, y double")
+    (west, south), (east, north) = corners.select(*transform(F.col("x"), F.col("y"), "EPSG:3857", "EPSG:4326")).collect()
+    about = {"name": Path(a.output).stem, "type": "overlay", "version": "1.1", "description": Path(a.output).stem, "bounds": ",".join(f"{v:.9f}" for v in (west, south, east, north))}
     tiles.write_mbtiles(made, a.output, about | {k: v for k, _, v in (m.partition("=") for m in a.mo)})
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.sources.listing import empty_files
+
 EXTENSIONS = ("tif", "tiff", "vrt", "asc", "img")
 
 # ---------------------------------------------------------------- manifest
@@ -24,8 +26,12 @@ def list_rasters(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, size_bytes, modified_utc, sha256 of a folder's raster files, by name without case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    kept = files.withColumn("name", name).where(F.lower("name").rlike(rf"\.({'|'.join(EXTENSIONS)})$"))
-    return kept.select("path", "name", F.col("length").alias("size_bytes"), utc(F.col("modificationTime")).alias("modified_utc"), F.sha2("content", 256).alias("sha256"))
+    known = files.select("path", name.alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("time"), F.sha2("content", 256).alias("sha256"))
+    if empty := empty_files(spark, folder):
+        rows = spark.createDataFrame(empty, "path string, name string, time timestamp")
+        known = known.unionByName(rows.select("path", "name", F.lit(0).cast("long").alias("size_bytes"), "time", F.sha2(F.lit("").cast("binary"), 256).alias("sha256")))
+    kept = known.where(F.lower("name").rlike(rf"\.({'|'.join(EXTENSIONS)})$"))
+    return kept.select("path", "name", "size_bytes", utc(F.col("time")).alias("modified_utc"), "sha256")
 
 
 def utc(time: Column) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from cellweave.operators.geometric import Grid
 from cellweave.sources import tiff
+from cellweave.sources.listing import empty_files
 
 #: Blocks of one partition.
 BLOCKS = 16
@@ -159,16 +160,31 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 METADATA = "path string, size_bytes long, driver string, dtype string, count int, crs string, transform array<double>, res array<double>, width int, height int, nodata double, tags map<string,string>, raster_error string"
 
 
+def ranges(path: str) -> tiff.Reader:
+    """Reads parts of a file of any store that Arrow opens: local, S3, HDFS, GCS."""
+    from pyarrow import fs
+
+    if path.startswith(("/", "file:")):
+        return tiff.file_reader(re.sub("^file:(//)?", "", path))
+    store, name = fs.FileSystem.from_uri(path)
+
+    def read(at: int, n: int) -> bytes:
+        with store.open_input_file(name) as file:
+            return file.read_at(min(n, max(0, file.size() - at)), at)
+
+    return read
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: what its header says, or why it can't be read."""
+    """One row per file: what its header says, or why it can't be read. Spark lists the files; of each only its header is read."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for name, size, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for name, size in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 row = dict.fromkeys(x.split(" ")[0] for x in METADATA.split(", ")) | {"path": name, "size_bytes": size}
                 try:
-                    h = tiff.read_header(tiff.bytes_reader(content))
+                    h = tiff.read_header(ranges(name))
                     row |= {"driver": "GTiff", "dtype": h.dtype, "count": h.count, "crs": h.crs, "transform": list(h.transform) if h.transform else None, "res": list(h.resolution) if h.resolution else None, "width": h.width, "height": h.height, "nodata": h.nodata, "tags": list(h.tags.items())}
                 except Exception as e:  # the reason is the result
                     row["raster_error"] = str(e)
@@ -176,7 +192,11 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
             fields = [("path", pa.string()), ("size_bytes", pa.int64()), ("driver", pa.string()), ("dtype", pa.string()), ("count", pa.int32()), ("crs", pa.string()), ("transform", pa.list_(pa.float64())), ("res", pa.list_(pa.float64())), ("width", pa.int32()), ("height", pa.int32()), ("nodata", pa.float64()), ("tags", pa.map_(pa.string(), pa.string())), ("raster_error", pa.string())]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInArrow(describe, METADATA)
+    # without its content column the source reads no file
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    if empty := empty_files(spark, path):
+        files = files.unionByName(spark.createDataFrame([(x, 0) for x, *_ in empty], "path string, length long"))
+    return files.mapInArrow(describe, METADATA)
 
 
 def grid_of(header: tiff.Header) -> Grid:

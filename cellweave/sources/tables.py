@@ -1,12 +1,29 @@
-"""Rasters as bucketed tables: aligned rasters of the same buckets join without a shuffle."""
+"""Rasters as bucketed tables: aligned rasters of the same buckets join without a shuffle. The shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset a session in one process, as in tests, gets one of its own; a cluster has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+    own = tempfile.mkdtemp(prefix="cellweave-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def save_raster(pixels: DataFrame, name: str, buckets: int, keys: Sequence[str] = ("row", "col"), mode: str = "errorifexists") -> None:
     """A table bucketed and sorted by the keys that aligned rasters are joined on."""
     pixels.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

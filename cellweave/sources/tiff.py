@@ -2,8 +2,7 @@
 
 Reads classic and big TIFF of either byte order, strips and tiles, chunky and planar,
 uncompressed, LZW, deflate, PackBits and Zstandard, predictors 1 to 3. Writes tiled
-little-endian files (big TIFF beyond 4 GB) with the same compressions but LZW and
-PackBits.
+little-endian files (big TIFF beyond 4 GB) with the same compressions.
 """
 
 from __future__ import annotations
@@ -179,6 +178,76 @@ def _unpack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _pack_bits(data: bytes) -> bytes:
+    """Runs of two bytes or more as a count and the byte, the rest as literal stretches of up to 128 bytes."""
+    a = np.frombuffer(data, "u1")
+    out = bytearray()
+    if not len(a):
+        return b""
+    begins = np.flatnonzero(np.append(True, a[1:] != a[:-1])).tolist()
+    literal = bytearray()
+
+    def flush() -> None:
+        for i in range(0, len(literal), 128):
+            part = literal[i : i + 128]
+            out.append(len(part) - 1)
+            out.extend(part)
+        literal.clear()
+
+    for begin, end in zip(begins, [*begins[1:], len(a)], strict=True):
+        n = end - begin
+        if n < 3:
+            literal.extend(data[begin:end])
+            continue
+        flush()
+        while n > 1:
+            step = min(n, 128)
+            out += bytes((257 - step, data[begin]))
+            n -= step
+        if n:
+            literal.append(data[begin])
+    flush()
+    return bytes(out)
+
+
+def _pack_lzw(data: bytes) -> bytes:
+    """Codes from the highest bit on, a new table before it would overflow."""
+    out, held, bits = bytearray(), 0, 0
+
+    def put(code: int, size: int) -> None:
+        nonlocal held, bits
+        held, bits = held << size | code, bits + size
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits)
+            held &= (1 << bits) - 1
+
+    known = {bytes([i]): i for i in range(256)}
+    count, word = 258, b""
+    width = lambda: 9 if count < 512 else 10 if count < 1024 else 11 if count < 2048 else 12
+    put(256, 9)
+    for i in range(len(data)):
+        longer = word + data[i : i + 1]
+        if longer in known:
+            word = longer
+            continue
+        put(known[word], width())
+        known[longer] = count
+        count += 1
+        if count == 4094:
+            put(256, 12)
+            known = {bytes([i]): i for i in range(256)}
+            count = 258
+        word = data[i : i + 1]
+    if word:
+        put(known[word], width())
+        count += 1
+    put(257, width())
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
 def _decompress(kind: int, data: bytes, size: int) -> bytes:
     if kind == 1:
         return data
@@ -237,6 +306,10 @@ def encode_block(a: np.ndarray, header: Header) -> bytes:
         return raw
     if header.compression == 8:
         return zlib.compress(raw, 6)
+    if header.compression == 5:
+        return _pack_lzw(raw)
+    if header.compression == 32773:
+        return b"".join(_pack_bits(raw[i : i + len(raw) // len(data)]) for i in range(0, len(raw), len(raw) // len(data)))
     if header.compression == 50000:
         import zstandard
 

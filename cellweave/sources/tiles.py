@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import os
 import sqlite3
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def png(a: np.ndarray) -> bytes:
@@ -24,6 +25,21 @@ def png(a: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", cols, rows, 8, {1: 0, 2: 4, 3: 2, 4: 6}[bands], 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 6)) + part(b"IEND", b"")
 
 
+def unpng(data: bytes) -> np.ndarray:
+    """What png() packed: (rows, columns, bands)."""
+    cols, rows, depth, kind = struct.unpack(">IIBB", data[16:26])
+    bands, at, packed = {0: 1, 4: 2, 2: 3, 6: 4}.get(kind, 0), 8, b""
+    while at < len(data):
+        size = struct.unpack(">I", data[at : at + 4])[0]
+        if data[at + 4 : at + 8] == b"IDAT":
+            packed += data[at + 8 : at + 8 + size]
+        at += size + 12
+    lines = np.frombuffer(zlib.decompress(packed), "u1").reshape(rows, -1) if bands and depth == 8 else np.ones((1, 1), "u1")
+    if lines[:, 0].any():
+        raise ValueError("only unfiltered tiles of bytes can be read")
+    return lines[:, 1:].reshape(rows, cols, bands)
+
+
 def encode_tiles(pixels: DataFrame, bands: Sequence[str], tile: int = 256) -> DataFrame:
     """zoom, tile_column, tile_row, data of a tile pyramid; pixels that are missing are transparent if the last of 2 or 4 bands is alpha, else black."""
 
@@ -70,6 +86,48 @@ def write_mbtiles(tiles: DataFrame, path: str, metadata: dict[str, str]) -> None
     os.replace(temporary, path)
 
 
+def read_mbtiles(spark: SparkSession, path: str) -> DataFrame:
+    """zoom, tile_column, tile_row (from the north), data. A task reads the tiles of a range of row numbers; executors have to see the file."""
+    db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    try:
+        last = db.execute("SELECT max(rowid) FROM tiles").fetchone()[0] or 0
+    finally:
+        db.close()
+    step = max(1, -(-last // spark.sparkContext.defaultParallelism))
+    schema = pa.schema([("zoom", pa.int32()), ("tile_column", pa.int32()), ("tile_row", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in b.column(0).to_pylist():
+                with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as own:
+                    found = own.execute("SELECT zoom_level, tile_column, (1 << zoom_level) - 1 - tile_row, tile_data FROM tiles WHERE rowid BETWEEN ? AND ?", (first, first + step - 1))
+                    while rows := found.fetchmany(64):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    parts = max(1, -(-last // step))
+    return spark.range(1, last + 1, step, parts).mapInArrow(run, "zoom int, tile_column int, tile_row int, data binary")
+
+
+def decode_tiles(tiles: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """zoom, tile_column, tile_row, row, col and bands of tiles that encode_tiles made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for z, x, y, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                a = unpng(data)
+                n = a.shape[0] * a.shape[1]
+                row, column = np.divmod(np.arange(n, dtype="i4"), a.shape[1])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, v, "i4")) for v in (z, x, y)), pa.array(row.astype("i4")), pa.array(column.astype("i4")), *(pa.array(a[:, :, k].ravel().astype("i4")) for k in range(len(bands)))], names=["zoom", "tile_column", "tile_row", "row", "col", *bands])
+
+    return tiles.select("zoom", "tile_column", "tile_row", "data").mapInArrow(run, "zoom int, tile_column int, tile_row int, row int, col int, " + ", ".join(f"`{b}` int" for b in bands))
+
+
+def read_metadata(path: str) -> dict[str, str]:
+    """The metadata table of an MBTiles file."""
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        return dict(db.execute("SELECT name, value FROM metadata"))
+
+
 def patch_metadata(db: sqlite3.Connection, values: dict[str, str]) -> None:
     for name, value in values.items():
         db.execute("DELETE FROM metadata WHERE name = ?", (name,))
@@ -118,41 +176,62 @@ def directory(entries: Sequence[tuple[int, int, int, int]]) -> bytes:
 
 
 def write_pmtiles(tiles: Iterable[tuple[int, int, int, bytes]], path: str, metadata: dict, bounds: tuple[float, float, float, float] = (-180.0, -85.05112878, 180.0, 85.05112878)) -> None:
-    """A clustered archive (version 3) of tiles (zoom, column, row from the north, data); equal tiles are stored once."""
-    ordered = sorted((hilbert_id(z, x, y), z, data) for z, x, y, data in tiles)
-    entries: list[tuple[int, int, int, int]] = []
-    stored: dict[bytes, tuple[int, int]] = {}
-    body = bytearray()
-    for tile, _, data in ordered:
-        if data not in stored:
-            stored[data] = len(body), len(data)
-            body += data
-        offset, length = stored[data]
-        if entries and entries[-1][1:3] == (offset, length) and entries[-1][0] + entries[-1][3] == tile:
-            entries[-1] = (*entries[-1][:3], entries[-1][3] + 1)
-        else:
-            entries.append((tile, offset, length, 1))
-    root, leaves = directory(entries), b""
-    size = 4096
-    while len(root) > 16257:
-        leaves, top = b"", []
-        for i in range(0, len(entries), size):
-            leaf = directory(entries[i : i + size])
-            top.append((entries[i][0], len(leaves), len(leaf), 0))
-            leaves += leaf
-        root, size = directory(top), size * 2
-    about = gzip.compress(json.dumps(metadata, sort_keys=True).encode(), mtime=0)
-    zooms = [z for _, z, _ in ordered] or [0]
-    places, at = [], 127
-    for part in (root, about, leaves, body):
-        places += [at, len(part)]
-        at += len(part)
-    west, south, east, north = (int(v * 1e7) for v in bounds)
-    head = struct.pack("<7sB11Q", b"PMTiles", 3, *places, len(ordered), len(entries), len(stored))
-    head += struct.pack("<BBBBBB4iBii", 1, 2, 1, 2, min(zooms), max(zooms), west, south, east, north, min(zooms), (west + east) // 2, (south + north) // 2)
-    with open(path, "wb") as file:
-        for part in (head, root, about, leaves, body):
-            file.write(part)
+    """A clustered archive (version 3) of tiles (zoom, column, row from the north, data); equal tiles are stored once.
+
+    Tiles are spooled to a file beside the archive in the order they come and copied
+    in the order of their ids; only ids, offsets and digests are held in memory.
+    """
+    with open(f"{path}.spool", "w+b") as spool:
+        os.unlink(f"{path}.spool")
+        placed: list[tuple[int, int, int, int]] = []  # id, zoom, place in the spool, length
+        known: dict[bytes, int] = {}
+        for z, x, y, data in tiles:
+            digest = hashlib.sha256(data).digest()
+            if digest not in known:
+                known[digest] = spool.tell()
+                spool.write(data)
+            placed.append((hilbert_id(z, x, y), z, known[digest], len(data)))
+        placed.sort()
+        entries: list[tuple[int, int, int, int]] = []
+        moved: dict[int, int] = {}  # place in the spool to offset in the body
+        order: list[tuple[int, int]] = []
+        size = 0
+        for tile, _, at, length in placed:
+            if at not in moved:
+                moved[at] = size
+                order.append((at, length))
+                size += length
+            offset = moved[at]
+            if entries and entries[-1][1:3] == (offset, length) and entries[-1][0] + entries[-1][3] == tile:
+                entries[-1] = (*entries[-1][:3], entries[-1][3] + 1)
+            else:
+                entries.append((tile, offset, length, 1))
+        root, leaves = directory(entries), b""
+        span = 4096
+        while len(root) > 16257:
+            parts, top, begin = [], [], 0
+            for i in range(0, len(entries), span):
+                leaf = directory(entries[i : i + span])
+                top.append((entries[i][0], begin, len(leaf), 0))
+                parts.append(leaf)
+                begin += len(leaf)
+            leaves, root, span = b"".join(parts), directory(top), span * 2
+        about = gzip.compress(json.dumps(metadata, sort_keys=True).encode(), mtime=0)
+        zooms = [z for _, z, *_ in placed] or [0]
+        places, at = [], 127
+        for length in (len(root), len(about), len(leaves), size):
+            places += [at, length]
+            at += length
+        west, south, east, north = (int(v * 1e7) for v in bounds)
+        head = struct.pack("<7sB11Q", b"PMTiles", 3, *places, len(placed), len(entries), len(order))
+        head += struct.pack("<BBBBBB4iBii", 1, 2, 1, 2, min(zooms), max(zooms), west, south, east, north, min(zooms), (west + east) // 2, (south + north) // 2)
+        with open(f"{path}.partial", "wb") as file:
+            for part in (head, root, about, leaves):
+                file.write(part)
+            for place, length in order:
+                spool.seek(place)
+                file.write(spool.read(length))
+        os.replace(f"{path}.partial", path)
 
 
 def mbtiles_to_pmtiles(source: str, path: str) -> None:
