@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cellweave.plans import queries
+from cellweave.plans import file_queries, queries  # noqa: F401  the first registers its own
 from conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,11 +48,34 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_plans_stay_in_the_jvm(spark):
-    """Pointwise queries have no shuffle and no Python; dictionaries are broadcast."""
-    for name in ("reclass_alpha", "hillshade_shade", "masked_blend_columns", "tree_line", "hsv_adjust", "color_relief", "biome_layer"):
-        plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange hash" not in plan and "Python" not in plan and "SortMergeJoin" not in plan, name
+def largest_method(df) -> int:
+    """Bytes of the largest method that the plan's generated code has; the JVM compiles none over 8,000."""
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    return max((stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())), default=0)
+
+
+POINTWISE = ("reclass_alpha", "hillshade_shade", "hillshade_tonemap", "masked_blend_columns", "tree_line", "hsv_adjust", "hsv_values", "color_relief", "biome_layer", "pipeline_mix_init_lerp_multiply")
+
+
+@pytest.mark.parametrize("name", POINTWISE)
+def test_plans_stay_in_the_jvm(spark, name):
+    """Pointwise queries have no shuffle, no Python and no method that is too large to be compiled."""
+    df = queries.QUERIES[name](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Python" not in plan and "SortMergeJoin" not in plan
+    assert 0 < largest_method(df) < 8000
+
+
+def test_many_stops_stay_compiled(spark):
+    from cellweave.operators import ramp
+    from cellweave.plans.views import layers
+
+    text = "\n".join(f"{i * 20} {i % 256} {255 - i % 256} {i * 7 % 256}" for i in range(200))
+    df = ramp.color_relief(layers(spark, SMALL), ramp.parse_ramp(ramp.lines_frame(spark, text)))
+    assert largest_method(df.select("r", "g", "b")) < 8000
+
+
+def test_dictionaries_are_broadcast(spark):
     plan = queries.QUERIES["reclass_palette"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "Exchange hash" not in plan
 
