@@ -201,6 +201,12 @@ def test_page_query(spark):
         ("<article><div class='header-image notices'>no</div><div class=addition>yes</div></article>", "yes"),
         ("<article><p>one</p></article><article><p>two</p></article>", "one\ntwo"),
         ("<header><article>no</article></header><article>yes</article>", "yes"),
+        ("<article><p>a</p><section id='related-work'><p>b</p></section><h2 id='search-algorithms'>c</h2><p class='no-comments'>d</p></article>", "a\nb\nc\nd"),
+        ("<div class='page has-sidebar no-ads'><p>all of the text</p></div>", "all of the text"),
+        ("<article><div class='post-header'><h1>title</h1></div><p>text <math>x = 1</math> and <label>a label</label></p></article>", "title\ntext x = 1 and a label"),
+        ("<body><div><p>A long text that is what the page is about, with many words in it.</p><p>It goes on.</p></div><article><p>teaser</p></article></body>", "A long text that is what the page is about, with many words in it.\nIt goes on.\nteaser"),
+        ("<div class=sidebar><p>everything that this page says stands in here</p></div><p>end</p>", "everything that this page says stands in here\nend"),
+        ("<article><p>a text that is long enough to be most of this page</p><div class='comment-list'><p>no</p></div><div class=site-header>no</div><div class='related-posts'>no</div><div role=search>no</div></article>", "a text that is long enough to be most of this page"),
         ("<" * 50 + "a" + "<b" * 40, None),
         ("<div>" * 5000 + "deep", "deep"),
     ],
@@ -230,6 +236,27 @@ def test_templates(spark):
     assert set(hosts) == {"example.org"}
 
 
+def plain_site(n=40):
+    """Neither article elements nor telling classes; paragraphs in the chrome; two groups of copies."""
+    rng = random.Random(2)
+    words = lambda k: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(50)) for _ in range(k))
+    top = "<div class=x1><div><a href='/'>home</a> <a href='/a'>about</a></div><p>The place for things.</p></div>"
+    end = "<div class=x9><p>All rights are kept by the owner of this site.</p><ul><li><a href='/t'>terms</a></li></ul></div>"
+    texts = [words(60) for _ in range(n)]
+    texts += [texts[0]] * 20 + [f"{texts[1]} edit{i}" for i in range(20)]
+    body = [f"<h1>{t.split()[0]}</h1><div><p>{t}</p><p>{t[:50]}</p></div>" for t in texts]
+    want = ["\n".join((t.split()[0], t, " ".join(t[:50].split()))) for t in texts]
+    return [(i, "http://plain.org/p", f"<html><body>{top}<div class=c>{b}</div>{end}</body></html>") for i, b in enumerate(body)], want
+
+
+def test_only_what_recurs_tells_a_plain_template(spark):
+    rows, want = plain_site()
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(want))] == want
+    without = html_text.main_text(rows[0][2])
+    assert without == "home about\nThe place for things.\n" + want[0] + "\nAll rights are kept by the owner of this site.\nterms"
+
+
 def test_templates_by_a_join(spark, monkeypatch):
     pages = spark.createDataFrame(site(), "page_id long, url string, html string")
     want = sorted(html_text.extract(pages).collect(), key=str)
