@@ -46,7 +46,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = materialise(rivals.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1"))
 
     rows = narrow.select("id", "digest") if digest_all else rivals
-    found = rows.join(groups, "digest", "left").select("id", "digest", "keep", "n")
+    # broadcast if few, as a hot digest's rows would meet in one task; beyond that adaptive execution splits them
+    found = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "digest", "left").select("id", "digest", "keep", "n")
     if not digest_all:
         found = found.unionByName(narrow.join(heads, ["len", "head"], "left_anti").select("id", "digest", F.lit(None).cast(narrow.schema["id"].dataType).alias("keep"), F.lit(None).cast("long").alias("n")))
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))

@@ -1,19 +1,24 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
-A text's paragraphs (lines) are cut, from their start, into cells of CELL code
-points; each cell's digest, with its number among equal ones, is a key of the text.
-A sketch adds every key to one slot of each of three rows: a count, the sum of keys
-and the sum of their check values. Two sketches subtract slot by slot, whereby shared
-keys vanish; peeling slots that hold a single key recovers what differs. If it gets
-stuck, both texts are sketched GROWTH times larger and with other hashes. The
-likeness of two texts is the share of common keys among all of theirs.
-
-The fingerprint is the smallest sketch as base64; `differing` compares two of them
-without the texts, as far as the smallest sketch reaches.
-
-For the next document, rows are range-partitioned by id once and each partition is
-streamed in order; a partition's last row meets the next partition's first through a
-table of two rows per partition.
+A text's paragraphs (lines) are cut into cells of words: a cell ends after a word whose
+hash is a multiple of EVERY, and with the paragraph, so that an inserted word changes its
+own cell only. Each cell's digest, with its number among equal ones, is a key of the text;
+so is each paragraph's digest, for a second sketch. A sketch adds every key to one slot of
+each of three rows: a count, the sum of keys and the sum of their check values. Two
+sketches subtract slot by slot, whereby shared keys vanish; peeling slots that hold a
+single key recovers what differs.
+
+The fingerprint is both sketches as base64. Their sizes are powers of two that grow with
+the text: the one of paragraphs has room for all of them to differ, the one of cells for
+about a half. A sketch folds to any smaller size, so `differing` and `likeness_of` begin
+with the smallest, retry twice as large on failure, up to what is stored, and compare
+texts of any two lengths. Beyond that the texts decide: `likeness` sketches them GROWTH
+times larger and with other hashes until they peel. The likeness of two texts is the
+share of common cells among all of theirs.
+
+For the next document, rows are dealt to ranges of the id, whose bounds are approximate
+quantiles, and each range is streamed in order; the first row of a range is also sent
+to the end of the one before. Nothing but that is written before the result.
 
 Defined results: a null text is an empty one, which has one empty cell. The document
 after the last is the first; a single document is its own next. A null id ranks
@@ -30,15 +35,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialise, partitions, pieces, table, text_of
+from cellweave.llm.common import partitions, pieces, table, text_of, with_range
 
-CELL = 16
+#: One word in so many ends a cell; longer runs without a space are cut into pieces.
+EVERY, LONGEST, PIECE = 4, 32, 16
 #: Slots in each of the three rows of the smallest sketch; how much larger the next one is; how often to retry.
 SLOTS, GROWTH, RETRIES = 4, 4, 14
+#: Keys for each slot that a stored sketch's row has at most, of paragraphs and of cells, and its least slots.
+PARAGRAPHS_A_SLOT, CELLS_A_SLOT, LEAST_STORED = 1, 3, 8
+NO_ID = -(1 << 63)
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _LOW64 = (1 << 64) - 1
@@ -52,28 +60,62 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all texts in a row, and where each text's keys begin (one more entry than texts)."""
-    digest = xxhash.xxh3_64_intdigest
-    flat: list[int] = []
-    begins = [0]
-    for text in texts:
-        for line in text.split("\n"):
-            if len(line) <= CELL:
-                flat.append(digest(line.encode("utf-8", "surrogatepass")))
-            else:
-                flat += [digest(line[i : i + CELL].encode("utf-8", "surrogatepass")) for i in range(0, len(line), CELL)]
-        begins.append(len(flat))
-    key, at = np.array(flat, "u8"), np.array(begins, "i8")
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+class TokenHashes(dict):
+    """Hashes of words, kept up to a bound."""
+
+    MOST = 200_000
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[token] = found = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return found
+
+
+_known = TokenHashes()
+_END = xxhash.xxh3_64_intdigest(b"\n")
+
+
+def tokens(text: str) -> list[str]:
+    """Words between single spaces, empty ones included; the end of a paragraph is one of its own."""
+    out = text.replace("\n", " \n ").split(" ")
+    if max(map(len, out)) > LONGEST:
+        out = [x for t in out for x in ([t] if len(t) <= LONGEST else [t[i : i + PIECE] for i in range(0, len(t), PIECE)])]
+    return out
+
+
+def _numbered(hashes: np.ndarray, begins: np.ndarray, ends_cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of stretches of tokens that end where ends_cell is true and with their text, and where each text's keys begin."""
+    first = np.append(True, ends_cell[:-1])
+    first[begins[:-1]] = True
+    starts = np.flatnonzero(first)
+    place = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
+    key = np.add.reduceat(_mix(hashes + place.astype("u8") * _M2, 3), starts)
+    at = np.searchsorted(starts, begins)
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(at))
     order = np.lexsort((key, owner))
     key, owner = key[order], owner[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])) if len(key) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    nth = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+    new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+    runs = np.flatnonzero(new)
+    nth = np.arange(len(key)) - np.repeat(runs, np.diff(np.append(runs, len(key))))
     return _mix(key + nth.astype("u8") * _M1, 99), at
 
 
+Keys = tuple[np.ndarray, np.ndarray]
+
+
+def keys_of(texts: list[str]) -> tuple[Keys, Keys]:
+    """Of the cells and of the paragraphs of all texts in a row: keys, and where each text's begin (one more entry than texts)."""
+    if not texts:
+        nothing = np.zeros(0, "u8"), np.zeros(1, "i8")
+        return nothing, nothing
+    split = [tokens(t) for t in texts]
+    hashes = np.concatenate([np.fromiter(map(_known.__getitem__, ts), "u8", len(ts)) for ts in split])
+    begins = np.concatenate(([0], np.cumsum([len(ts) for ts in split])))
+    line = hashes == np.uint64(_END)
+    return _numbered(hashes, begins, line | (hashes % np.uint64(EVERY) == 0)), _numbered(hashes, begins, line)
+
+
 class Sketches:
     """Of several texts or pairs: 3 * slots[i] cells each, one after the other."""
 
@@ -156,38 +198,96 @@ def likeness(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.
     return out
 
 
-_CELL_TYPE = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
+#: What is stored of a slot, of paragraphs and of cells, whose keys are shortened.
+_PARAGRAPH_SLOT = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
+_CELL_SLOT = np.dtype([("count", "<i2"), ("key", "<u4"), ("check", "<u2")])
+
 
+def _mask(kind: np.dtype, field: str) -> int:
+    return (1 << 8 * kind[field].itemsize) - 1
 
-def fingerprints_of(keys: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
-    """The smallest sketch of each text."""
+
+def _stored(keys: Keys, per_slot: int, kind: np.dtype) -> tuple[np.ndarray, list[bytes]]:
+    """Each text's sketch: the logarithm of its slots, and its slots. Sums are kept modulo the size of their fields."""
     key, at = keys
-    n = len(at) - 1
-    s = Sketches(np.full(n, SLOTS), 0)
-    s.add(key, np.repeat(np.arange(n), np.diff(at)), 1)
-    packed = np.zeros(len(s.count), _CELL_TYPE)
-    packed["count"], packed["key"], packed["check"] = s.count, s.keys, s.checks & np.uint64(0xFFFFFFFF)
-    width = 3 * SLOTS * _CELL_TYPE.itemsize
-    data = packed.tobytes()
-    return [data[i * width : (i + 1) * width] for i in range(n)]
+    key = key & np.uint64(_mask(kind, "key"))
+    n = np.diff(at)
+    power = np.ceil(np.log2(np.maximum(n / per_slot, LEAST_STORED))).astype("i8")
+    s = Sketches(1 << power, 0)
+    s.add(key, np.repeat(np.arange(len(n)), n), 1)
+    packed = np.zeros(len(s.count), kind)
+    for field, sums in (("count", s.count), ("key", s.keys), ("check", s.checks)):
+        packed[field] = sums.astype(kind[field])
+    return power, [packed[i:j].tobytes() for i, j in zip(s.offset[:-1].tolist(), s.offset[1:].tolist(), strict=True)]
+
+
+def fingerprints_of(cells: Keys, paragraphs: Keys) -> list[bytes]:
+    """The logarithms of both sizes, the paragraphs' sketch and the cells'."""
+    if len(cells[1]) < 2:
+        return []
+    (p, of_paragraphs), (c, of_cells) = _stored(paragraphs, PARAGRAPHS_A_SLOT, _PARAGRAPH_SLOT), _stored(cells, CELLS_A_SLOT, _CELL_SLOT)
+    return [bytes((i, j)) + x + y for i, j, x, y in zip(p.tolist(), c.tolist(), of_paragraphs, of_cells, strict=True)]
+
+
+def _parts(fingerprint: str | bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of paragraphs and of cells, three rows each."""
+    data = base64.b64decode(fingerprint) if isinstance(fingerprint, str) else fingerprint
+    size = (3 << data[0]) * _PARAGRAPH_SLOT.itemsize
+    return np.frombuffer(data[2 : 2 + size], _PARAGRAPH_SLOT).reshape(3, -1), np.frombuffer(data[2 + size :], _CELL_SLOT).reshape(3, -1)
+
+
+def _folded(sketch: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, sums of keys and of checks of the same sketch with fewer slots."""
+    return tuple(sketch[field].astype(wide).reshape(3, -1, slots).sum(axis=1, dtype=wide).ravel() for field, wide in (("count", "i8"), ("key", "u8"), ("check", "u8")))  # type: ignore[return-value]
+
+
+def _peeled(first: np.ndarray, second: np.ndarray, slots: int) -> tuple[list[int], list[int]] | None:
+    """Keys of the first sketch only and of the second only; None if they are too many for that many slots."""
+    low, short = (_mask(first.dtype, field) for field in ("key", "check"))
+    (count, keys, checks), (c, k, x) = _folded(first, slots), _folded(second, slots)
+    count, keys, checks = (count - c).tolist(), ((keys - k) & np.uint64(low)).tolist(), ((checks - x) & np.uint64(short)).tolist()
+    sketch, found = Sketches(np.array([slots]), 0), ([], [])
+    look = list(range(3 * slots))
+    while look:
+        i = look.pop()
+        sign = count[i]
+        if abs(sign) != 1:
+            continue
+        key = np.array([keys[i] * sign & low], "u8")
+        check = int(_mix(key, 5)[0])
+        if check * sign & short != checks[i]:
+            continue
+        found[sign < 0].append(int(key[0]))
+        for at in sketch.cells(key, np.zeros(1, "i8"))[:, 0].tolist():
+            count[at] -= sign
+            keys[at] = keys[at] - sign * int(key[0]) & low
+            checks[at] = checks[at] - sign * check & short
+            look.append(at)
+    return None if any(count) or any(keys) or any(checks) else found
+
+
+def _difference(first: np.ndarray, second: np.ndarray) -> tuple[list[int], list[int]] | None:
+    """By the smallest folded sketches that peel."""
+    slots, most = SLOTS, min(first.shape[1], second.shape[1])
+    while slots <= most:
+        if (found := _peeled(first, second, slots)) is not None:
+            return found
+        slots *= 2
+    return None
 
 
 def differing(first: str | bytes, second: str | bytes) -> tuple[list[int], list[int]] | None:
-    """Paragraph digests that only the first fingerprint's text has, and only the second's; None if they are too many."""
-    a, b = (np.frombuffer(base64.b64decode(x) if isinstance(x, str) else x, _CELL_TYPE) for x in (first, second))
-    count, keys, checks = a["count"].astype("i8") - b["count"], a["key"] - b["key"], a["check"] - b["check"]
-    sketch, found = Sketches(np.array([SLOTS]), 0), ([], [])
-    while True:
-        pure = [(i, k) for i in np.flatnonzero(np.abs(count) == 1) for k in [keys[i : i + 1] * count[i : i + 1].astype("u8")] if int(_mix(k, 5)[0]) * int(count[i]) & 0xFFFFFFFF == int(checks[i])]
-        if not pure:
-            return None if count.any() or keys.any() or checks.any() else found
-        i, k = pure[0]
-        sign = int(count[i])
-        found[sign < 0].append(int(k[0]))
-        for at in sketch.cells(k, np.zeros(1, "i8"))[:, 0]:
-            count[at] -= sign
-            keys[at] = np.uint64((int(keys[at]) - sign * int(k[0])) & _LOW64)
-            checks[at] = np.uint32((int(checks[at]) - sign * int(_mix(k, 5)[0])) & 0xFFFFFFFF)
+    """Digests of the paragraphs that only the first fingerprint's text has, and only the second's; None if they are more than is stored can tell."""
+    return _difference(_parts(first)[0], _parts(second)[0])
+
+
+def likeness_of(first: str | bytes, second: str | bytes) -> float | None:
+    """The share of common cells by two fingerprints alone; None if too many differ."""
+    a, b = _parts(first)[1], _parts(second)[1]
+    if (found := _difference(a, b)) is None:
+        return None
+    common = int(a["count"].sum(dtype="i8")) // 3 - len(found[0])
+    return common / max(1, common + len(found[0]) + len(found[1]))
 
 
 def edited(text: str, following: str) -> str:
@@ -196,76 +296,54 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-# digests and sketches are random bytes, which no codec shrinks: they are spelled out only in the result
-_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
-_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _compared(ids: list, texts: list[str], follows: np.ndarray, n: int) -> list[pa.Array]:
-    """The result's columns for the first n texts; text i's next is texts[follows[i]]."""
-    own = keys_of(texts)
-    changed = [edited(texts[i], texts[follows[i]]) for i in range(n)]
-    new = keys_of(changed)
+def _compared(ids: list, texts: list[str], n: int) -> pa.RecordBatch:
+    """The results of the first n texts, each with the one after it."""
+    (own, paragraphs) = keys_of(texts)
+    changed = [edited(texts[i], texts[i + 1]) for i in range(n)]
+    new, new_paragraphs = keys_of(changed)
     each = np.arange(n)
-    sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in changed]
-    near = likeness(own, new, each, each), likeness(own, own, each, follows[:n])
-    columns = [ids[:n], [len(t) for t in texts[:n]], sha, fingerprints_of((own[0][: own[1][n]], own[1][: n + 1])), fingerprints_of(new), *near]
-    return [pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)]
-
-
-FIRST, LAST = 1, 2
+    sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
+    near = likeness(own, new, each, each), likeness(own, own, each, each + 1)
+    cut = lambda keys: (keys[0][: keys[1][n]], keys[1][: n + 1])
+    spelled = [[base64.b64encode(f).decode() for f in fingerprints_of(*k)] for k in ((cut(own), cut(paragraphs)), (new, new_paragraphs))]
+    columns = [ids[:n], [len(t) for t in texts[:n]], sha, *spelled, *near]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows id, text in order: results of all but the partition's last row, and its first and last row."""
-    part = TaskContext.get().partitionId()
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *_FIELDS, ("text", pa.string())])
-
-    def end(kind: int, doc_id, text: str) -> pa.RecordBatch:
-        rows = {"kind": kind, "part": part, "doc_id": doc_id, "text": text}
-        return pa.RecordBatch.from_pylist([rows], schema=schema)
-
+    """Rows id, text in order: results of all but the last row, which is a copy of the next range's first."""
     held: tuple | None = None
-    for b in pieces(batches, "text", 4 << 20):
+    for b in pieces(batches, "text", 2 << 20):
         if not b.num_rows:
             continue
         ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        if held is None:
-            yield end(FIRST, ids[0], texts[0])
-        else:
+        if held is not None:
             ids.insert(0, held[0])
             texts.insert(0, held[1])
         held = ids[-1], texts[-1]
-        if n := len(ids) - 1:
-            columns = _compared(ids, texts, np.arange(1, n + 2), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, "i4")), pa.array(np.full(n, part, "i4")), *columns, pa.nulls(n, pa.string())], schema=schema)
-    if held is not None:
-        yield end(LAST, *held)
-
-
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows doc_id, text, next_text to results."""
-    for b in pieces(batches, "text"):
-        n = b.num_rows
-        if n:
-            ids, texts, following = (b.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays(_compared(ids, texts + following, np.arange(n, 2 * n), n), schema=_FIELDS)
+        if len(ids) > 1:
+            yield _compared(ids, texts, len(ids) - 1)
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    in_order = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
-    streamed = materialise(in_order.mapInArrow(_streamed, f"kind int, part int, {_RESULT}, text string"))
-    ends = streamed.where("kind > 0").select("kind", "part", "doc_id", "text")
-    # a number for each partition, whatever the input
-    parts = sorted(r["part"] for r in ends.where(F.col("kind") == FIRST).select("part").collect())
-    follow = F.broadcast(spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int"))
-    heads = ends.where(F.col("kind") == FIRST).select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    pairs = ends.where(F.col("kind") == LAST).join(follow, "part").join(heads, "next_part").select("doc_id", "text", "next_text")
-    whole = streamed.where("kind = 0").select(*_FIELDS.names).unionByName(pairs.mapInArrow(_paired, _RESULT))
-    return whole.withColumns({"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": F.base64("fingerprint"), "edited_fingerprint": F.base64("edited_fingerprint")})
+    n = partitions(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("rank", F.coalesce("id", F.lit(NO_ID).cast("long")))
+    rows = with_range(rows, "rank", n, "part")
+    # a row for each range, whatever the input
+    firsts = sorted(map(tuple, rows.groupBy("part").agg(F.min("rank")).collect()))
+    before = [(part, first, firsts[i - 1][0]) for i, (part, first) in enumerate(firsts)]
+    known = F.broadcast(spark.createDataFrame(before, "head long, first long, part_before long"))
+    heads = rows.join(known, (F.col("part") == F.col("head")) & (F.col("rank") == F.col("first"))).groupBy("part_before").agg(F.min("text").alias("text"))
+    copies = heads.select(F.col("part_before").alias("part"), F.lit(1).alias("copy"), F.lit(None).cast("long").alias("id"), F.lit(NO_ID).cast("long").alias("rank"), "text")
+    both = rows.select("part", F.lit(0).alias("copy"), "id", "rank", "text").unionByName(copies)
+    in_order = both.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("copy", "rank", "text")
+    return in_order.select("id", "text").mapInArrow(_streamed, _RESULT)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
