@@ -7,12 +7,8 @@ on null texts as on empty ones.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.sources.tables import shared_folder
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: White space of the text contracts: [\x20\x09-\x0D].
@@ -43,19 +41,6 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset a session in one process, as in tests, gets one of its own; a cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
-    own = tempfile.mkdtemp(prefix="cellweave-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def _path(spark: SparkSession, path: str):
     """The Hadoop path and its file system."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -102,6 +87,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def place_among(df: DataFrame, rank: Column, bounds: Column, count: int, out: str) -> DataFrame:
+    """df with how many of `count` rising bounds, a literal array, are below its rank: found by halving, a projection for each halving."""
+    df = df.withColumn(out, F.lit(0))
+    half = (1 << count.bit_length()) >> 1
+    while half:
+        at = F.col(out) + half
+        df = df.withColumn(out, F.col(out) + F.when((at <= count) & (rank > F.element_at(bounds, F.least(at, F.lit(count)))), F.lit(half)).otherwise(F.lit(0)))
+        half >>= 1
+    return df
+
+
+def with_range(df: DataFrame, column: str, ranges: int, out: str) -> DataFrame:
+    """df with the number of the range, below `ranges`, that a long column falls into; ranges have about as many rows each.
+
+    Their bounds are approximate quantiles, which travel to the driver.
+    """
+    shares = [i / ranges for i in range(1, ranges)]
+    found = df.agg(F.percentile_approx(column, shares, max(10_000, 20 * ranges))).first()[0] if shares else None
+    bounds = sorted(set(found or []))
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into one literal
+    return place_among(df, F.col(column), listed, len(bounds), out)
+
+
 def release_memory() -> None:
     """Gives memory that was freed back to the system; Python workers outlive their tasks and would keep it."""
     pa.default_memory_pool().release_unused()

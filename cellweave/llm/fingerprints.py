@@ -338,11 +338,11 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # a row for each range, whatever the input
     firsts = sorted(map(tuple, rows.groupBy("part").agg(F.min("rank")).collect()))
     before = [(part, first, firsts[i - 1][0]) for i, (part, first) in enumerate(firsts)]
-    known = F.broadcast(spark.createDataFrame(before, "head long, first long, part_before long"))
+    known = F.broadcast(spark.createDataFrame(before, "head int, first long, part_before int"))
     heads = rows.join(known, (F.col("part") == F.col("head")) & (F.col("rank") == F.col("first"))).groupBy("part_before").agg(F.min("text").alias("text"))
     copies = heads.select(F.col("part_before").alias("part"), F.lit(1).alias("copy"), F.lit(None).cast("long").alias("id"), F.lit(NO_ID).cast("long").alias("rank"), "text")
     both = rows.select("part", F.lit(0).alias("copy"), "id", "rank", "text").unionByName(copies)
-    in_order = both.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("copy", "rank", "text")
+    in_order = both.repartitionById(n, "part").sortWithinPartitions("copy", "rank", "text")
     return in_order.select("id", "text").mapInArrow(_streamed, _RESULT)
 
 
