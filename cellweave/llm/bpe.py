@@ -1,11 +1,16 @@
 """Byte-level BPE encoding by corpus-level merge replay, and decoding.
 
-The distinct words (matches of the splitting pattern) of a block of documents are
-laid out as one chain of symbols. An inverted index from token pair to the positions
-where the pair stands is kept in rank order; each merge is applied to all its
-positions at once, and only the pairs of touched neighbours are looked up anew. A
-word keeps its ids for later blocks of the same worker process. Blocks have a bound
-in bytes, so the work is a narrow pass over the corpus: texts are not shuffled.
+Words are matches of the splitting pattern. One pass counts the corpus' words; the most
+frequent ones, up to DICTIONARY, are replayed once for the whole corpus, in parallel, and
+travel to the tasks with their ids. The second pass encodes the documents by that table;
+words that aren't in it are replayed for a block of documents, with KEPT_WORDS of them
+kept between blocks of a worker. Texts are not shuffled: joining every word of the corpus
+with a table of all distinct words would move several times the corpus.
+
+A replay lays distinct words out as one chain of symbols. An inverted index from token
+pair to the positions where the pair stands is kept in rank order; each merge is applied
+to all its positions at once, and only the pairs of touched neighbours are looked up
+anew. Words don't touch, so a part of them replays to the same ids as all would.
 
 A merge whose new token can't be part of a pair of lower rank is applied to all
 positions of a word at once, from the left; any other merge is applied to a word's
@@ -22,6 +27,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -33,11 +40,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import pieces, table, text_of
+from cellweave.llm.common import discard, materialise, partitions, pieces, table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words that a worker process keeps.
-KEPT_WORDS = 120_000
+#: Words that are replayed for the whole corpus, and their longest, in code points.
+DICTIONARY, LONGEST = 200_000, 64
+#: Other words that a worker process keeps.
+KEPT_WORDS = 60_000
 NEVER = np.int64(1 << 40)
 
 
@@ -70,8 +79,10 @@ class Merges:
         self.quiet = np.ones(len(tokens), bool)
         for half in (self.keys >> 32, self.keys & 0xFFFFFFFF):
             self.quiet[half[self.merged < half]] = False
-        #: Ids by word, as little-endian unsigned 32-bit integers.
+        #: Ids by word, as little-endian unsigned 32-bit integers; which of them are in the corpus' table, and which were replayed here.
         self.known: dict[str, bytes] = {}
+        self.table = ""
+        self.own: list[str] = []
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -174,15 +185,25 @@ class Merges:
 
     def encode(self, texts: list[str], pattern: regex.Pattern) -> Iterator[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         known = self.known
+        if len(self.own) > KEPT_WORDS:
+            for w in self.own:
+                del known[w]
+            self.own = []
         split = [pattern.findall(t) for t in texts]
         if new := list({w for words in split for w in words if w not in known}):
             known.update(zip(new, self.replay([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
+            self.own += new
         for words in split:
             yield b"".join([known[w] for w in words])
 
+    def use(self, name: str, words: bytes) -> None:
+        """Takes over the corpus' table, as `dictionary` made it, unless it is the one of that name already."""
+        if self.table != name:
+            with pa.ipc.open_stream(words) as rows:
+                self.known = {w: i for b in rows for w, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+            self.table, self.own = name, []
+
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -202,11 +223,62 @@ def _unshipped(data: bytes) -> Merges:
     return _merges(tuple(base64.b64decode(t) for t in data.split(b"\n")))
 
 
-def _encoded(spark: SparkSession, path: str, pattern: str, digests: bool, decode: bool = True):
-    shipped = spark.sparkContext.broadcast(_shipped(read_ranks(path)))  # a vocabulary file: under a megabyte, whatever the corpus
+def _counted(pattern: str):
+    """Texts to words and how often they were met, as far as a task has counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, count = regex.compile(pattern), Counter()
+
+        def out() -> pa.RecordBatch:
+            words = [w for w in count if len(w) <= LONGEST]
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([count[w] for w in words], pa.int64())], names=["word", "n"])
+            count.clear()
+            return batch
+
+        for b in pieces(batches, "text"):
+            for text in b.column(0).to_pylist():
+                count.update(split.findall(text))
+            if len(count) > 300_000:
+                yield out()
+        yield out()
+
+    return run
+
+
+def dictionary(rows: DataFrame, shipped, pattern: str, most: int = DICTIONARY) -> bytes:
+    """The ids of the words that the texts of rows hold most often, `most` of them at most, as an Arrow stream of word, ids."""
+    words = materialise(rows.select("text").mapInArrow(_counted(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # words by how often they occur, in steps of a quarter of a doubling: some hundred rows at most
+    step = F.floor(F.log2("n") * 4)
+    least, held = None, 0
+    for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("size")).orderBy(F.desc("step")).collect():
+        if held + r["size"] > most:
+            break
+        least, held = r["step"], held + r["size"]
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = _unshipped(shipped.value)
+        for b in batches:
+            ids = merges.replay([w.encode() for w in b.column(0).to_pylist()]) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+    chosen = words.where(step >= least) if least is not None else words.limit(0)
+    found = chosen.select("word").repartition(partitions(rows.sparkSession), "word").mapInArrow(replayed, "word string, ids binary").toArrow()
+    discard(words)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    return sink.getvalue().to_pybytes()
+
+
+def _encoded(rows: DataFrame, path: str, pattern: str, digests: bool, decode: bool = True):
+    sc = rows.sparkSession.sparkContext
+    shipped = sc.broadcast(_shipped(read_ranks(path)))  # a vocabulary file: under a megabyte, whatever the corpus
+    frequent, name = sc.broadcast(dictionary(rows, shipped, pattern)), uuid.uuid4().hex  # at most DICTIONARY short words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, split = _unshipped(shipped.value), regex.compile(pattern)
+        merges.use(name, frequent.value)
         for b in pieces(batches, "text", 4 << 20):
             n, ids, decoded = [], [], []
             for own in merges.encode(b.column(1).to_pylist(), split):
@@ -224,14 +296,14 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     """id, n_tokens, ids (array<int>), decoded (text; null unless decode)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_encoded(docs.sparkSession, path, pattern, False, decode), f"id {kind}, n_tokens long, ids array<int>, decoded string")
+    return rows.mapInArrow(_encoded(rows, path, pattern, False, decode), f"id {kind}, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, of the same ids and decoded bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    out = rows.mapInArrow(_encoded(docs.sparkSession, path, pattern, True), f"id {kind}, n_tokens long, ids string, decoded string")
+    out = rows.mapInArrow(_encoded(rows, path, pattern, True), f"id {kind}, n_tokens long, ids string, decoded string")
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
