@@ -118,6 +118,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", F.col("mix_copy").alias("copy"), F.round("mix_rate", 6).alias("rate"), F.col("mix_key").alias("shuffle_key"), "text")
 
 
+#: For rates of up to 700, at which exp(-rate) is still a number of full precision.
 SQL = f"""
 WITH RECURSIVE sizes AS (
   SELECT source AS src, sum(length(coalesce(text, ''))) AS chars FROM documents GROUP BY source
@@ -128,12 +129,12 @@ WITH RECURSIVE sizes AS (
 ), dist AS (
   SELECT src, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM rated
   UNION ALL
-  SELECT src, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM dist WHERE k < 200
+  SELECT src, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM dist WHERE k < rate + 12 * sqrt(rate) + 40
 ), drawn AS (
-  SELECT doc_id, source, text, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 AS u FROM documents
+  SELECT row_number() OVER () AS place, doc_id, source, text, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 AS u FROM documents
 ), counted AS (
   SELECT doc_id, source, text, max(rate) AS rate, count(*) FILTER (WHERE cdf <= u) AS n
-  FROM drawn JOIN dist ON source IS NOT DISTINCT FROM src GROUP BY doc_id, source, text
+  FROM drawn JOIN dist ON source IS NOT DISTINCT FROM src GROUP BY place, doc_id, source, text
 ), copies AS (
   SELECT doc_id, source, text, rate, unnest(generate_series(1, n))::INTEGER AS copy FROM counted WHERE n > 0
 )

@@ -11,9 +11,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -41,7 +43,14 @@ def test_query_equals_sql(spark, name):
 
 
 def cells(text):
-    return Counter(line[i : i + fingerprints.CELL] for line in text.split("\n") for i in range(0, len(line) or 1, fingerprints.CELL))
+    out, cell = Counter(), ()
+    for word in text.replace("\n", " \n ").split(" "):
+        for part in [word] if len(word) <= fingerprints.LONGEST else [word[i : i + fingerprints.PIECE] for i in range(0, len(word), fingerprints.PIECE)]:
+            cell += (part,)
+            if part == "\n" or xxhash.xxh3_64_intdigest(part.encode()) % fingerprints.EVERY == 0:
+                out[cell] += 1
+                cell = ()
+    return out + Counter([cell] if cell else [])
 
 
 def brute_likeness(a, b):
@@ -81,17 +90,43 @@ def test_messy_fingerprints(spark):
 
 
 def test_difference_of_two_fingerprints():
-    key, at = fingerprints.keys_of(["a\nb\nc\nd", "a\nb\nx\nd", "\n".join(map(str, range(100)))])
-    a, b, c = (f for f in fingerprints.fingerprints_of((key, at)))
+    texts = ["a\nb\nc\nd", "a\nb\nx\nd", "\n".join(map(str, range(100)))]
+    cell_keys, paragraphs = fingerprints.keys_of(texts)
+    a, b, c = fingerprints.fingerprints_of(cell_keys, paragraphs)
     only_a, only_b = fingerprints.differing(a, base64.b64encode(b).decode())
+    key, at = paragraphs
     assert set(only_a) == set(key[at[0] : at[1]].tolist()) - set(key[at[1] : at[2]].tolist()) and len(only_b) == 1
-    assert fingerprints.differing(a, a) == ([], []) and fingerprints.differing(a, c) is None
+    assert fingerprints.differing(a, a) == ([], []) and fingerprints.likeness_of(a, a) == 1.0
+    assert fingerprints.likeness_of(a, b) == pytest.approx(brute_likeness(texts[0], texts[1]))
+
+
+def test_stored_fingerprints_tell_real_edits(spark):
+    """Between each text and its edited one, the paragraphs that differ and the likeness come out of the fingerprints alone."""
+    rows = [r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    told = like = 0
+    for i, text in enumerate(rows):
+        changed = fingerprints.edited(text, rows[(i + 1) % len(rows)])
+        cell_keys, (key, at) = fingerprints.keys_of([text, changed])
+        a, b = fingerprints.fingerprints_of(cell_keys, (key, at))
+        own, new = set(key[: at[1]].tolist()), set(key[at[1] :].tolist())
+        if (found := fingerprints.differing(a, b)) is not None:
+            told += 1
+            assert set(found[0]) == own - new and set(found[1]) == new - own
+        if (share := fingerprints.likeness_of(a, b)) is not None:
+            like += 1
+            assert share == pytest.approx(brute_likeness(text, changed))
+    assert told > 0.97 * len(rows) and like > 0.9 * len(rows)
+
+
+def test_an_inserted_word_changes_its_cell_only():
+    words = [f"word{i}" for i in range(200)]
+    assert brute_likeness(" ".join(words), " ".join([*words[:5], "new", *words[5:]])) > 0.9
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab\n", max_size=80), min_size=2, max_size=6))
+@given(st.lists(st.text("ab \n", max_size=80), min_size=2, max_size=6))
 def test_likeness(texts):
-    keys = fingerprints.keys_of(texts)
+    keys, _ = fingerprints.keys_of(texts)
     n = len(texts)
     a, b = np.arange(n), (np.arange(n) + 1) % n
     assert fingerprints.likeness(keys, keys, a, b).tolist() == pytest.approx([brute_likeness(texts[i], texts[(i + 1) % n]) for i in range(n)])
@@ -165,6 +200,19 @@ def test_kept_words_are_bounded(merges, monkeypatch):
     assert list(merges.encode(["one two three four five six seven eight nine ten eleven"], split)) == first
 
 
+def test_frequent_words_are_replayed_for_the_corpus(spark, tokenizer):
+    """The table holds the most frequent words with the ids that the library gives; a smaller one changes no result."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    count = Counter(w for r in rows.collect() for w in regex.findall(public_tokenizers.PATTERN, r["text"]))
+    shipped = spark.sparkContext.broadcast(bpe._shipped(bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))))
+    for most in (100, 10**6):
+        with pa.ipc.open_stream(bpe.dictionary(rows, shipped, public_tokenizers.PATTERN, most)) as found:
+            words = dict(zip(*[c.to_pylist() for c in found.read_all().columns], strict=True))
+        assert 0 < len(words) <= most and all(np.frombuffer(i, "<u4").tolist() == tokenizer.encode_ordinary(w) for w, i in words.items())
+        rest = [n for w, n in count.items() if w not in words]
+        assert min(count[w] for w in words) >= max(rest) or most == 10**6 and max(rest) == 1
+
+
 # ---------------------------------------------------------------- pages
 
 
@@ -324,6 +372,15 @@ def test_a_tiny_source_beside_a_large_one(spark):
         assert abs(r["rate"] / rate - 1) < 1e-9 and r["c"] == r["last"] and below(r["c"]) <= u + 1e-9 and u - 1e-9 < below(r["c"] + 1)
 
 
+def test_mixing_sql_with_repeated_rows_and_large_rates(spark, tmp_path):
+    rows = [(i, "x" * 3000, "en", "a", 1) for i in range(200)] + [(7, "x" * 3000, "en", "a", 1)] * 2 + [(1000, "tiny", "en", "b", 4)] * 2 + [(1001, None, "en", None, 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours, theirs = mixing.op9_mix_sources(spark, str(tmp_path)).toPandas(), db.sql(mixing.SQL).df()
+    assert ours[ours.source == "b"].rate.max() > 200 and plain(ours) == plain(theirs)
+
+
 @pytest.mark.parametrize("rate", [500.5, 700.0, 12_345.6, 1e6, 1e9])
 def test_distribution_of_a_large_rate(rate):
     low, cdf = mixing.distribution(rate)
