@@ -181,6 +181,18 @@ def option_schema_from_xml(spark: SparkSession, driver: str, xml: str) -> DataFr
     return option_schema(spark, {driver: options})
 
 
+def installed_options(spark: SparkSession, driver: str) -> DataFrame | None:
+    """The options of a driver that an installed gdalinfo describes; None without one or for an unknown driver."""
+    tool = shutil.which("gdalinfo")
+    if tool is None:
+        return None
+    said = subprocess.run([tool, "--format", driver], capture_output=True, text=True)
+    start, end = said.stdout.find("<CreationOptionList"), said.stdout.find("</CreationOptionList>")
+    if said.returncode or start < 0 or end < 0:
+        return None
+    return option_schema_from_xml(spark, driver.upper(), said.stdout[start : end + len("</CreationOptionList>")])
+
+
 def check_options(flags: DataFrame, schema: DataFrame) -> DataFrame:
     """flags (id, driver, flag) with key, value and `error`, null if the option is allowed.
 
@@ -240,8 +252,11 @@ def command_flags(spark: SparkSession, args: Sequence[str]) -> DataFrame:
 
 def require_options(spark: SparkSession, args: Sequence[str]) -> None:
     """Raises ValueError at the first wrong creation option of a command line, with a suggestion for unknown ones."""
-    schema = option_schema(spark)
-    wrong = check_options(command_flags(spark, args), schema).where("error is not null").orderBy("id").first()
+    schema, flags = option_schema(spark), command_flags(spark, args)
+    for driver in {r["driver"].upper() for r in flags.select("driver").distinct().collect()}:
+        if (own := installed_options(spark, driver)) is not None:  # what is installed goes before the built-in table
+            schema = schema.where(F.upper("driver") != driver).unionByName(own)
+    wrong = check_options(flags, schema).where("error is not null").orderBy("id").first()
     if wrong is None:
         return
     names = [r["name"] for r in schema.where(F.upper("driver") == wrong["driver"].upper()).select("name").collect()]

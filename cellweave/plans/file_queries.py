@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import blend, catalog, focal, geometric, ramp, reclassify
 from cellweave.plans.queries import _CLASSED, TILED, _channel_sql, _feather_sql, _hsv_sql, query
 from cellweave.plans.views import LAYERS, grid, layers, table
-from cellweave.sources import config, geotiff, tiff, tiles
+from cellweave.sources import config, geotiff, grids, tiff, tiles
 from cellweave.sources.tables import shared_folder
 
 _FOLDERS: dict[str, str] = {}
@@ -131,6 +131,48 @@ def file_retag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geotiff.metadata(spark, path).select(F.explode("tags").alias("key", "value"))
 
 
+@query(f"WITH {LAYERS} SELECT row, col, a1 AS b1, a2 AS b2 FROM layers")
+def file_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files, each written by a task, read as one raster."""
+    at, h = f"{folder(spark, 'file_tiles')}/tiles", _header(spark, sf_dir, 2)
+    geotiff.write_tiles(layers(spark, sf_dir).select("row", "col", "a1", "a2"), at, h, ["a1", "a2"], blocks=1)
+    return geotiff.read_tiles(spark, at, h)
+
+
+@query(f"WITH {LAYERS} SELECT row, col, CASE WHEN code <> 40 THEN round(v, 6) END AS b1 FROM layers")
+def file_ascii_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, g = f"{folder(spark, 'file_ascii_grid')}/v.asc", grid(spark, sf_dir)
+    rows = layers(spark, sf_dir).orderBy("row", "col").select(F.when(F.col("code") == 40, -9999.0).otherwise(F.round("v", 6)).alias("v")).collect()
+    with open(path, "w") as file:
+        file.write(f"ncols {g.width}\nnrows {g.height}\nxllcorner {g.x}\nyllcorner {g.y + g.height * g.dy}\ncellsize {g.dx}\nNODATA_value -9999\n")
+        file.writelines(f"{r['v']!r}\n" for r in rows)
+    return grids.read_ascii(spark, path).drop("path")
+
+
+@query(f"WITH {LAYERS} SELECT row, col, CASE WHEN row < 60 OR row >= 80 THEN a1 ELSE a2 END AS b1, CASE WHEN col < 10 THEN 7 ELSE a3 END AS b2 FROM layers")
+def file_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A virtual raster over two bands of one file; the second source of the first band lies over the first, and the second band leaves columns out."""
+    path = _rgb_file(spark, sf_dir, "file_mosaic")
+    g = grid(spark, sf_dir)
+    rect = lambda tag, x, y, w, h: f'<{tag} xOff="{x}" yOff="{y}" xSize="{w}" ySize="{h}"/>'
+    source = lambda band, *where: f'<SimpleSource><SourceFilename relativeToVRT="1">layers.tif</SourceFilename><SourceBand>{band}</SourceBand>{rect("SrcRect", *where)}{rect("DstRect", *where)}</SimpleSource>'
+    bands = f'<VRTRasterBand dataType="Byte" band="1"><NoDataValue>7</NoDataValue>{source(1, 0, 0, g.width, g.height)}{source(2, 0, 60, g.width, 20)}</VRTRasterBand><VRTRasterBand dataType="Byte" band="2">{source(3, 10, 0, g.width - 10, g.height)}</VRTRasterBand>'
+    mosaic = path.replace("layers.tif", "all.vrt")
+    with open(mosaic, "w") as file:
+        file.write(f'<VRTDataset rasterXSize="{g.width}" rasterYSize="{g.height}"><SRS>EPSG:3857</SRS><GeoTransform>{g.x}, {g.dx}, 0, {g.y}, 0, {g.dy}</GeoTransform>{bands}</VRTDataset>')
+    return grids.read_vrt(spark, mosaic)
+
+
+@query(f"WITH {LAYERS} SELECT 'all.vrt' AS name, 'VRT' AS driver, 'uint8' AS dtype, 64 AS width, (max(row) + 1)::INTEGER AS height, 'EPSG:3857' AS crs FROM layers UNION ALL SELECT * FROM (VALUES ('empty.tif', '', '', -1, -1, ''), ('v.asc', 'AAIGrid', 'float64', 2, 1, ''))")
+def file_metadata_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of other kinds of files, and a file without a byte."""
+    at, g = folder(spark, "file_metadata_kinds"), grid(spark, sf_dir)
+    for name, text in (("v.asc", "ncols 2\nnrows 1\nxllcenter 0.5\nyllcenter 0.5\ncellsize 1\n1 2\n"), ("empty.tif", ""), ("all.vrt", f'<VRTDataset rasterXSize="{g.width}" rasterYSize="{g.height}"><SRS>EPSG:3857</SRS><VRTRasterBand dataType="Byte"/></VRTDataset>')):
+        with open(f"{at}/{name}", "w") as file:
+            file.write(text)
+    return geotiff.metadata(spark, at).select(F.element_at(F.split("path", "/"), -1).alias("name"), "driver", "dtype", "width", "height", "crs").fillna(-1).fillna("")
+
+
 # ---------------------------------------------------------------- tile containers
 
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 import glob
 import os
 import re
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +177,19 @@ def ranges(path: str) -> tiff.Reader:
     return read
 
 
+def described(name: str, read: tiff.Reader) -> tuple[str, tiff.Header]:
+    """The driver's name and the header of a raster file, by its suffix."""
+    from cellweave.sources import grids
+
+    suffix = name.rpartition(".")[2].lower()
+    if suffix == "asc":
+        g, nodata, _ = grids.ascii_header(read(0, 4096).decode("ascii", "replace"))
+        return "AAIGrid", tiff.Header(g.width, g.height, "float64", transform=(g.dx, 0.0, g.x, 0.0, g.dy, g.y), nodata=nodata)
+    if suffix == "vrt":
+        return "VRT", grids.vrt_header(read(0, 1 << 26).decode("utf-8", "replace"))[0]
+    return "GTiff", tiff.read_header(read)
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: what its header says, or why it can't be read. Spark lists the files; of each only its header is read."""
 
@@ -184,8 +199,8 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
             for name, size in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 row = dict.fromkeys(x.split(" ")[0] for x in METADATA.split(", ")) | {"path": name, "size_bytes": size}
                 try:
-                    h = tiff.read_header(ranges(name))
-                    row |= {"driver": "GTiff", "dtype": h.dtype, "count": h.count, "crs": h.crs, "transform": list(h.transform) if h.transform else None, "res": list(h.resolution) if h.resolution else None, "width": h.width, "height": h.height, "nodata": h.nodata, "tags": list(h.tags.items())}
+                    driver, h = described(name, ranges(name))
+                    row |= {"driver": driver, "dtype": h.dtype, "count": h.count, "crs": h.crs, "transform": list(h.transform) if h.transform else None, "res": list(h.resolution) if h.resolution else None, "width": h.width, "height": h.height, "nodata": h.nodata, "tags": list(h.tags.items())}
                 except Exception as e:  # the reason is the result
                     row["raster_error"] = str(e)
                 rows.append(row)
@@ -248,6 +263,80 @@ def write_raster(pixels: DataFrame, path: str, header: tiff.Header, bands: Seque
             os.unlink(temporary)
 
 
+def write_tiles(pixels: DataFrame, folder: str, header: tiff.Header, bands: Sequence[str], blocks: int = 16, sparse: float | None = None) -> None:
+    """A folder of GeoTIFF files ROW_COL.tif, each of `blocks` by `blocks` blocks of the raster with its own place.
+
+    Every task writes its own files, where all executors see the folder; a file is
+    renamed when it is whole, so that a repeated task replaces it. Files of which all
+    values are `sparse` aren't written.
+    """
+    h = header
+    down, across = h.block[0] * blocks, h.block[1] * blocks
+    fill = h.nodata or 0
+    dx, _, x, _, dy, y = h.transform or (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
+    os.makedirs(folder, exist_ok=True)
+
+    def save(r: int, c: int, a: np.ndarray) -> str:
+        own = replace(h, width=a.shape[1], height=a.shape[0], transform=(dx, 0.0, x + c * across * dx, 0.0, dy, y + r * down * dy), offsets=[], sizes=[])
+        path = f"{folder}/{r}_{c}.tif"
+
+        def encoded() -> Iterator[tuple[int, bytes]]:
+            for i in range(own.blocks[0] * own.blocks[1]):
+                row, col = (k * size for k, size in zip(divmod(i, own.blocks[1]), h.block, strict=True))
+                part = a[row : row + h.block[0], col : col + h.block[1]]
+                whole = np.full((*h.block, len(bands)), fill, h.dtype)
+                whole[: part.shape[0], : part.shape[1]] = part
+                yield i, tiff.encode_block(whole, own)
+
+        partial = f"{path}.{uuid.uuid4().hex}"
+        with open(partial, "wb") as file:
+            tiff.write(file, own, encoded())
+        os.replace(partial, path)
+        return path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, a = None, None
+        written = []
+
+        def done() -> None:
+            if a is not None and not (sparse is not None and (a == sparse).all()):
+                written.append(save(*at, a))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, c, row, col = (b.column(i).to_numpy() for i in range(4))
+            values = [b.column(4 + i).to_numpy(zero_copy_only=False) for i in range(len(bands))]
+            cuts = np.concatenate(([0], np.flatnonzero((r[1:] != r[:-1]) | (c[1:] != c[:-1])) + 1, [len(r)]))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if at != (int(r[i]), int(c[i])):
+                    done()
+                    at = int(r[i]), int(c[i])
+                    a = np.full((min(down, h.height - at[0] * down), min(across, h.width - at[1] * across), len(bands)), fill, h.dtype)
+                for k, v in enumerate(values):
+                    a[row[i:j] - at[0] * down, col[i:j] - at[1] * across, k] = np.where(v[i:j] == v[i:j], v[i:j], fill)
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], names=["path"])
+
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = [F.expr(f"cast(row div {down} as int)").alias("r"), F.expr(f"cast(col div {across} as int)").alias("c")]
+    placed = pixels.select(*place, F.col("row").cast("int"), F.col("col").cast("int"), *bands).repartition(n, "r", "c").sortWithinPartitions("r", "c")
+    placed.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def read_tiles(spark: SparkSession, folder: str, header: tiff.Header) -> DataFrame:
+    """row, col, b1, ... of the raster that `write_tiles` wrote; the files' names tell where each begins."""
+    dx, _, x, _, dy, y = header.transform or (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
+    cells = read_local(spark, folder)
+    known = {}
+    for path in _paths(folder):
+        t = tiff.read_header(tiff.file_reader(path)).transform
+        known[path] = (round((t[5] - y) / dy), round((t[2] - x) / dx)) if t else (0, 0)
+    starts = spark.createDataFrame([(p, *at) for p, at in known.items()], "path string, __r int, __c int")  # a row for each file
+    moved = cells.join(F.broadcast(starts), "path").withColumns({"row": F.col("row") + F.col("__r"), "col": F.col("col") + F.col("__c")})
+    return moved.drop("path", "__r", "__c")
+
+
 def retag(path: str, tags: dict[str, str]) -> None:
     """The file with metadata tags set."""
     read = tiff.file_reader(path)
