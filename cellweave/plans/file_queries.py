@@ -17,6 +17,7 @@ from cellweave.plans.queries import _CLASSED, TILED, _channel_sql, _feather_sql,
 from cellweave.plans.views import LAYERS, grid, layers, table
 from cellweave.sources import config, geotiff, grids, tiff, tiles
 from cellweave.sources.tables import shared_folder
+from cellweave.streaming import pixels
 
 _FOLDERS: dict[str, str] = {}
 
@@ -336,6 +337,33 @@ def file_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "what string, ok boolean")
 
 
+# ---------------------------------------------------------------- streams
+
+
+@query(f"WITH {LAYERS} SELECT row, col, greatest(0, least(255, round_even(a1 * (m / 255.0::DOUBLE) + c1 * (1.0::DOUBLE - m / 255.0::DOUBLE), 0)::INTEGER)) AS v FROM layers")
+def stream_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pointwise operator over a stream of files."""
+    at = folder(spark, "stream_blend")
+    x = layers(spark, sf_dir).select("row", "col", "a1", "c1", "m")
+    x.repartition(4).write.parquet(f"{at}/in")
+    stream = pixels.read_pixels(spark, f"{at}/in", "row int, col int, a1 int, c1 int, m int", files_per_batch=2)
+    pixels.write_pointwise(stream.select("row", "col", blend.blend_value("a1", "c1", "m").alias("v")), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema("row int, col int, v int").parquet(f"{at}/out")
+
+
+@query(f"WITH {LAYERS} SELECT row // 4 AS row, col // 4 AS col, round(avg(v), 9) AS v FROM layers GROUP BY ALL")
+def stream_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator that needs whole blocks, over micro-batches of whole blocks."""
+    at = folder(spark, "stream_overviews")
+    x = layers(spark, sf_dir).select("row", "col", "v").withColumn("part", F.expr("cast(row div 4 % 3 as int)"))
+    for part in range(3):
+        x.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = pixels.read_pixels(spark, f"{at}/in", "row int, col int, v double", files_per_batch=1)
+    pixels.write_batches(stream, lambda b: geometric.overview(b, 4), f"{at}/out", f"{at}/state").awaitTermination()
+    out = spark.read.schema("row int, col int, v double").parquet(f"{at}/out")
+    return out.select("row", "col", F.round("v", 9).alias("v"))
+
+
 # ---------------------------------------------------------------- checks
 
 

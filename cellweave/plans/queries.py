@@ -192,6 +192,15 @@ def biome_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blend.biome_layer(layers(spark, sf_dir), ("a1", "a2", "a3"), ("c1", "c2", "c3"), ("m", "m", "m")).select("row", "col", "r", "g", "b")
 
 
+@query(
+    f"""WITH {LAYERS}, f AS (SELECT *, 1.0::DOUBLE - {_smooth_sql(300.0, 900.0, '(precip + v * 120.0::DOUBLE)')} AS d FROM layers)
+SELECT row, col, {', '.join(f'greatest(0, least(255, round_even(a{i} + (c{i} - a{i}) * d, 0)::INTEGER)) AS {b}' for i, b in ((1, 'r'), (2, 'g'), (3, 'b')))} FROM f"""
+)
+def biome_layer_tpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A position index shifts precipitation; no slope."""
+    return blend.biome_layer(layers(spark, sf_dir), ("a1", "a2", "a3"), ("c1", "c2", "c3"), ("m", "m", "m"), slope=None, tpi="v", tpi_bias=120.0).select("row", "col", "r", "g", "b")
+
+
 @query(
     """WITH over(v, g) AS (VALUES (3, 'Water'), (7, 'Snow')), macro(mg, g) AS (VALUES ('AFRICA', 'Desert'), ('ASIA', 'Steppe'), ('EUROPE', 'Forest')),
 pal(g, rl, gl, bl, ra, ga, ba) AS (VALUES ('Water', 10, 60, 200, 20, 70, 180), ('Snow', 250, 250, 255, 240, 240, 240), ('Desert', 210, 180, 120, 230, 200, 140), ('Steppe', 120, 160, 70, 170, 160, 90), ('Forest', 20, 90, 30, 90, 110, 50), ('Other', 128, 128, 128, 128, 128, 128))
