@@ -6,6 +6,8 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cellweave import cli
 from cellweave.sources import geotiff, tiff, tiles
@@ -40,12 +42,13 @@ def load(path):
     return h, a
 
 
-@pytest.mark.parametrize("dtype", ["uint8", "int16", "uint16", "int32", "float32", "float64"])
-@pytest.mark.parametrize("compression", [1, 8, 50000])
-@pytest.mark.parametrize("predictor", [1, 2, 3])
+#: Predictor 2 is for integers, 3 for floats.
+KINDS = [(d, p) for d in ("uint8", "int16", "uint16", "int32", "float32", "float64") for p in (1, 3 if d.startswith("float") else 2)]
+
+
+@pytest.mark.parametrize(("dtype", "predictor"), KINDS)
+@pytest.mark.parametrize("compression", sorted(tiff.COMPRESSIONS.values()))
 def test_codec(tmp_path, dtype, compression, predictor):
-    if (predictor == 3) != dtype.startswith("float") and predictor > 1:
-        pytest.skip("predictor 2 is for integers, 3 for floats")
     a = (np.random.default_rng(0).random((50, 70, 3)) * 200).astype(dtype)
     save(tmp_path / "x.tif", a, compression=compression, predictor=predictor, nodata=7.0)
     h, b = load(tmp_path / "x.tif")
@@ -57,6 +60,18 @@ def test_old_compressions():
     assert tiff._unpack_lzw(bytes([0x80, 0x01, 0xE0, 0x40, 0x80, 0x44, 0x08, 0x0C, 0x06, 0x80, 0x80])) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 255), st.integers(1, 300)), max_size=60))
+def test_old_compressions_come_back(runs):
+    data = b"".join(bytes([v]) * n for v, n in runs)
+    assert tiff._unpack_bits(tiff._pack_bits(data)) == data and tiff._unpack_lzw(tiff._pack_lzw(data)) == data
+
+
+def test_long_lzw_tables_are_cleared():
+    data = np.random.default_rng(0).integers(0, 256, 40_000).astype("u1").tobytes()
+    assert tiff._unpack_lzw(tiff._pack_lzw(data)) == data
+
+
 def test_broken_files(tmp_path):
     for data in (b"", b"II*\0", b"hello world, this is text", b"II*\0\xff\xff\xff\xff" + b"\0" * 20):
         with pytest.raises((tiff.NotARaster, Exception)):
@@ -113,6 +128,9 @@ def test_blend_commands(spark, rasters):
     for co in (["COMPRESS=WEBP", "PHOTOMETRIC=YCBCR"], ["COMPRESS=LZW", "PREDICTOR=3"]):
         with pytest.raises(ValueError):
             cli.main(["masked_blend", at("a"), at("b"), at("m"), at("o"), *(x for c in co for x in ("--co", c))])
+    for co in ("LZW", "PACKBITS"):
+        cli.main(["masked_blend", at("a"), at("b"), at("m"), at("o"), "--co", f"COMPRESS={co}"])
+        assert load(at("o"))[0].compression == tiff.COMPRESSIONS[co.lower()] and (load(at("o"))[1] == np.round(a * (m / 255.0))).all()
     cli.main(["hillshade_blend", at("m"), at("a"), at("h"), "--shade-strength", "0"])
     assert (load(at("h"))[1] == a).all()
 
@@ -175,6 +193,24 @@ def test_tile_containers(spark, rasters):
     cli.main(["create_pmtiles", str(d / "x.mbtiles"), str(d / "x.pmtiles")])
     raw = (d / "x.pmtiles").read_bytes()
     assert raw[:8] == b"PMTiles\x03" and len(raw) > 127 + len(data[0])
+    begin, size = (int.from_bytes(raw[i : i + 8], "little") for i in (56, 64))
+    assert begin + size == len(raw) and size == sum(map(len, set(data)))
+    with pytest.raises(ValueError, match="resampling"):
+        cli.main(["create_mbtiles", str(d / "a.tif"), str(d / "y.mbtiles"), "-r", "SINC"])
+
+
+def test_folder_of_tiles(spark, tmp_path):
+    a = np.random.default_rng(5).integers(1, 255, (70, 90, 2)).astype("u1")
+    a[:32, 64:] = 0
+    path, out = str(tmp_path / "a.tif"), str(tmp_path / "tiles")
+    save(path, a)
+    h = replace(HEADER, width=90, height=70, count=2, block=(16, 32), photometric=1)
+    geotiff.write_tiles(geotiff.read_local(spark, path), out, h, ["b1", "b2"], blocks=2, sparse=0)
+    assert sorted(p.name for p in (tmp_path / "tiles").iterdir()) == ["0_0.tif", "1_0.tif", "1_1.tif", "2_0.tif", "2_1.tif"]
+    rows = geotiff.read_tiles(spark, out, h).toPandas()
+    back = np.zeros_like(a)
+    back[rows.row, rows.col] = rows[["b1", "b2"]].to_numpy()
+    assert (back == a).all()
 
 
 def test_hilbert_ids():
