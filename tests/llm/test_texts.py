@@ -11,7 +11,6 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -200,19 +199,6 @@ def test_kept_words_are_bounded(merges, monkeypatch):
     assert list(merges.encode(["one two three four five six seven eight nine ten eleven"], split)) == first
 
 
-def test_frequent_words_are_replayed_for_the_corpus(spark, tokenizer):
-    """The table holds the most frequent words with the ids that the library gives; a smaller one changes no result."""
-    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    count = Counter(w for r in rows.collect() for w in regex.findall(public_tokenizers.PATTERN, r["text"]))
-    shipped = spark.sparkContext.broadcast(bpe._shipped(bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))))
-    for most in (100, 10**6):
-        with pa.ipc.open_stream(bpe.dictionary(rows, shipped, public_tokenizers.PATTERN, most)) as found:
-            words = dict(zip(*[c.to_pylist() for c in found.read_all().columns], strict=True))
-        assert 0 < len(words) <= most and all(np.frombuffer(i, "<u4").tolist() == tokenizer.encode_ordinary(w) for w, i in words.items())
-        rest = [n for w, n in count.items() if w not in words]
-        assert min(count[w] for w in words) >= max(rest) or most == 10**6 and max(rest) == 1
-
-
 # ---------------------------------------------------------------- pages
 
 
