@@ -55,7 +55,7 @@ SAMPLE, OFTEN, MOST_OFTEN = 16, 4, 1 << 20
 #: Rows of a recurring shingle that one task gets, as far as the sample shows; shingles up to which this is done.
 SHARE, SALTED = 4096, 50_000
 #: Members of a run outside of its largest root, and members in all, that are compared at once.
-PROBES, AGAINST = 1024, 4096
+PROBES, AGAINST = 512, 2048
 
 _FACTOR, _LENGTH = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -206,8 +206,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def _pairs(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], names=["a", "b"])
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+_MET = "a long, b long, h long, at int, n int"
+
+
+def _met(pairs: pa.RecordBatch | None = None, members: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """Rows of _MET: pairs (a, b), or members a, h, at, n of runs."""
+    if pairs is not None:
+        rest = [pa.nulls(pairs.num_rows, kind) for kind in (pa.int64(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*pairs.columns, *rest], names=["a", "b", "h", "at", "n"])
+    node, h, at, n = members  # type: ignore[misc]
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["a", "b", "h", "at", "n"])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -217,7 +229,7 @@ def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndar
 
 
 def _prefixes_meet(most: int):
-    """Over rows (h, salt, at, n, node, root) sorted by the first four: pairs (a, b) that may be alike, or (h, null) for a run that isn't finished by them."""
+    """Over rows (h, salt, at, n, node, root) sorted by the first four: pairs that may be alike, and the members of runs that aren't finished by them."""
 
     def settle(h, salt, at, n, node, root) -> Iterator[pa.RecordBatch]:
         new = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))
@@ -225,15 +237,15 @@ def _prefixes_meet(most: int):
         lengths = np.diff(np.append(begins, len(h)))
         several = np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)
         long = several & (lengths > most)
-        if (unfinished := long | (salt[begins] > 0)).any():
-            yield _pairs(np.unique(h[begins[unfinished]]), None)
         run = np.cumsum(new) - 1
+        if (unfinished := (long | (salt[begins] > 0))[run]).any():
+            yield _met(members=[x[unfinished] for x in (node, h, at, n)])
         if long.any():
             y = np.flatnonzero(long[run])
             x = begins[run[y]]
             take = (root[x] != root[y]) & _fit(x, y, n, at)
             if take.any():
-                yield _pairs(np.minimum(node[x], node[y])[take], np.maximum(node[x], node[y])[take])
+                yield _met(_pairs(np.minimum(node[x], node[y])[take], np.maximum(node[x], node[y])[take]))
         rows = np.flatnonzero((several & ~long)[run])
         for lag in range(1, len(rows)):
             x, y = rows[:-lag], rows[lag:]
@@ -243,7 +255,7 @@ def _prefixes_meet(most: int):
             x, y = x[same], y[same]
             take = (root[x] != root[y]) & _fit(x, y, n, at)
             if take.any():
-                yield _pairs(np.minimum(node[x], node[y])[take], np.maximum(node[x], node[y])[take])
+                yield _met(_pairs(np.minimum(node[x], node[y])[take], np.maximum(node[x], node[y])[take]))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last, perhaps unfinished run
@@ -310,25 +322,24 @@ def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(nodes: DataFrame, roots: DataFrame, salts: DataFrame, most: int = MEMBERS) -> DataFrame:
-    """A table of pairs (a, b) that may be alike and whose roots differ, and rows (h, null) of shingles whose run isn't finished by them. nodes: node, n, prefix; salts: h, salts."""
+    """A table of pairs (a, b) that may be alike and whose roots differ, and of the members (a, h, at, n) of runs that aren't finished by them. nodes: node, n, prefix; salts: h, salts."""
     n = partitions(nodes.sparkSession)
     rows = rooted(nodes.select("node", "n", "prefix"), roots).select("node", "root", "n", F.posexplode("prefix").alias("at", "h"))
     rows = rows.join(F.broadcast(salts), "h", "left")  # SALTED rows at most
     # a shingle with shares has salts from 1, any other one 0
     salt = F.coalesce(F.pmod(F.xxhash64("node"), "salts") + 1, F.lit(0).cast("long"))
     rows = rows.select("h", salt.alias("salt"), "at", "n", "node", "root").repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "at", "n", "node")
-    return materialise(rows.mapInArrow(_prefixes_meet(most), "a long, b long"))
+    return materialise(rows.mapInArrow(_prefixes_meet(most), _MET))
 
 
-def block_pairs(nodes: DataFrame, roots: DataFrame, unfinished: DataFrame, probes: int = PROBES, against: int = AGAINST) -> DataFrame:
-    """Pairs (a, b) that may be alike, of all pairs of nodes with different roots and one of the unfinished shingles (h) in both their prefixes."""
+def block_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, probes: int = PROBES, against: int = AGAINST) -> DataFrame:
+    """Pairs (a, b) that may be alike, of all pairs of nodes with different roots in one run. members: node, h, at, n."""
     n = partitions(nodes.sparkSession)
-    rows = rooted(nodes.select("node", "n", "s", "prefix"), roots).select("node", "root", "n", "s", F.posexplode("prefix").alias("at", "h"))
-    rows = materialise(rows.join(unfinished, "h", "left_semi"))
+    rows = materialise(rooted(members, roots).select("node", "root", "n", "at", "h"))
     sizes = rows.groupBy("h", "root").agg(F.count("*").alias("size"))
     runs = sizes.groupBy("h").agg(F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by("root", F.struct("size", "root")).alias("main")).where("all > most")
     runs = materialise(runs.select("h", "main", F.expr(f"(all - most + {probes - 1}) div {probes}").alias("blocks"), F.expr(f"(all + {against - 1}) div {against}").alias("chunks")))
-    rows = rows.join(runs, "h")
+    rows = materialise(rows.join(runs, "h").join(nodes.select("node", "s"), "node"))
     block, chunk = F.pmod(F.xxhash64("node"), "blocks"), F.pmod(F.xxhash64(F.lit(1), "node"), "chunks")
     data = ["at", "n", "node", "root", "s"]
     members = rows.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), F.lit(0).alias("probe"), *data)
@@ -362,9 +373,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salts = spark.createDataFrame([(int(h), int(-(-c * SAMPLE // SHARE))) for h, c in zip(often[hot].view("i8").tolist(), counts[hot].tolist(), strict=True)], "h long, salts long")
     met = prefix_pairs(nodes, roots, salts, members)
     roots = merged(roots, verified(possible(met.where("b is not null").distinct(), nodes), nodes, texts))
-    unfinished = materialise(met.where("b is null").select(F.col("a").alias("h")).distinct())
+    unfinished = met.where("h is not null").select(F.col("a").alias("node"), "h", "at", "n")
     if not unfinished.isEmpty():
-        roots = merged(roots, verified(block_pairs(nodes, roots, unfinished), nodes, texts))
+        roots = merged(roots, verified(block_pairs(unfinished, nodes, roots), nodes, texts))
 
     roots = merged(roots, equal.select(F.col("root").alias("a"), F.col("node").alias("b")))
     ends = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -373,7 +384,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stays = materialise(grouped.groupBy("root").agg(F.min(F.struct("id", "t1", "t2")).alias("stays")))
     gone = grouped.join(stays, "root").where(F.struct("id", "t1", "t2") != F.col("stays"))
     gone = materialise(gone.select(F.col("id").alias("node"), F.col("stays.id").alias("root"), "t1", "t2").distinct())
-    discard(features, first, equal, by_fp, met, unfinished, grouped, stays, roots)
+    discard(features, first, equal, by_fp, met, grouped, stays, roots)
     return gone
 
 
