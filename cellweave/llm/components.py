@@ -39,11 +39,10 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 def connected_components(pairs: DataFrame) -> DataFrame:
     """A table of node, root (the smallest node reachable) for each node of pairs a, b that isn't itself a root."""
     pairs = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(pairs)
-    while True:
+    before, state = None, _state(pairs)
+    while state[0] and state != before:
         pairs = _small_star(_large_star(pairs))
         before, state = state, _state(pairs)
-        if state == before:
-            out = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            out._cellweave_path = pairs._cellweave_path
-            return out
+    out = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._cellweave_path = pairs._cellweave_path
+    return out
