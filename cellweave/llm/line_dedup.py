@@ -2,8 +2,9 @@
 
 Line keys are hashed to 128 bits where the texts are read. The hashes are
 range-partitioned with document and position as further sort keys, so a line that a
-third of all documents hold spreads over as many partitions as it fills; each
-partition is streamed in order and every line that does not stand in its key's first
+third of all documents hold spreads over as many partitions as it fills; the ranges'
+bounds come from the lines of one document in SAMPLE, which balances tasks and changes no
+result. Each partition is streamed in order and every line that does not stand in its key's first
 document is reported. A run that a partition shares with the one before is reported
 whole and settled by one summary row per partition. Texts do not move: the result is
 a compressed keep bitmap for each document.
@@ -16,6 +17,7 @@ before all others. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import ASCII_LOWER, ASCII_UPPER, BLANKS, ascii_lower, materialise, partitions, table, text_of
+from cellweave.llm.common import ASCII_LOWER, ASCII_UPPER, BLANKS, ascii_lower, discard, materialise, partitions, place_among, table, text_of
 
 LEAST = 10
+#: One document of so many, by a hash of the id, and about so many of its lines for each range, tell the ranges' bounds.
+SAMPLE, LINES = 16, 50
 #: Stands for a null id while ids are compared.
 NO_ID = -(1 << 63)
 
@@ -41,6 +45,18 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
     return lines.select("id", "pos", key.alias("key")).where(F.char_length("key") >= least).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "id", "pos")
 
 
+def in_ranges(lines: DataFrame, sampled: DataFrame, ranges: int) -> DataFrame:
+    """lines dealt to that many partitions by (h1, h2, id, pos), of about as many rows each by what is sampled."""
+    order = ["h1", "h2", "id", "pos"]
+    n = sampled.count()
+    share = min(1.0, LINES * ranges / max(n, 1))
+    drawn = sampled.where(F.pmod(F.xxhash64(F.lit("bound"), *order), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = sorted(map(tuple, drawn.select(*order).collect()))  # LINES for each range
+    bounds = sorted({rows[len(rows) * i // ranges] for i in range(1, ranges)}) if rows else []
+    listed = F.from_json(F.lit(json.dumps([dict(zip(order, b, strict=True)) for b in bounds])), "array<struct<h1: bigint, h2: bigint, id: bigint, pos: int>>")
+    return place_among(lines, F.struct(*order), listed, len(bounds), "range").repartitionById(ranges, "range").select(*order).sortWithinPartitions(*order)
+
+
 def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams rows sorted by (h1, h2, id, pos)."""
     part = TaskContext.get().partitionId()
@@ -78,8 +94,11 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """id, pos (from 0) of each line that an earlier document holds."""
     spark = docs.sparkSession
-    order = ["h1", "h2", "id", "pos"]
-    streamed = materialise(line_hashes(docs, id_col, text_col, least).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_first_occurrences, _STREAMED))
+    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0)
+    sampled = materialise(line_hashes(sample, id_col, text_col, least))
+    lines = in_ranges(line_hashes(docs, id_col, text_col, least), sampled, partitions(spark))
+    streamed = materialise(lines.mapInArrow(_first_occurrences, _STREAMED))
+    discard(sampled)
     # one or two rows for each partition, whatever the input
     ends = sorted(streamed.where(F.col("kind") >= FIRST).collect(), key=lambda r: (r["part"], r["kind"]))
     firsts, carry = [], None
