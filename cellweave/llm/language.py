@@ -8,8 +8,8 @@ fitted on rows that did not train them calibrates the probabilities.
 Every `lang` value of a training row is learned. Where there are so many that BUCKETS
 weights of each would pass MODEL_CELLS, the n-grams are hashed to fewer buckets instead.
 Fitting uses about SAMPLE_ROWS rows, dealt evenly to the languages and taken by a hash of
-their id; fewer if they have more than SAMPLE_FEATURES features in all. Every row's whole
-text is predicted.
+their id, at least one of each; fewer if they have more than SAMPLE_FEATURES features in
+all. Every row's whole text is predicted.
 
 Defined results: a null text, an empty one and one without a letter are `und` with
 score 0. Without any training row all texts are `und`. A row with a null id has
@@ -18,7 +18,7 @@ held_out false and never trains. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -95,13 +95,28 @@ def _featured(buckets: int):
         for b in pieces(batches, "text"):
             langs, parts, draws, texts = (b.column(i).to_pylist() for i in range(4))
             rows = [(lang, part, draw, at, c[at]) for lang, part, draw, t in zip(langs, parts, draws, texts, strict=True) if (c := counts(t, buckets)) is not None for at in [np.flatnonzero(c)]]
-            kinds = (pa.string(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["lang", "part", "draw", "at", "n"])
 
     return run
 
 
-def follow_the_regularised_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, buckets: int = BUCKETS, epochs: int = EPOCHS) -> np.ndarray:
+class _Vectors(Sequence):
+    """Rows buckets, values, class, whose values are computed each time: the driver holds the counts only."""
+
+    def __init__(self, ats: list[np.ndarray], ns: list[np.ndarray], classes: list[int], idf: np.ndarray):
+        self.ats, self.ns, self.classes, self.idf = ats, ns, classes, idf
+
+    def __len__(self) -> int:
+        return len(self.ats)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        at = self.ats[i].astype("i8")
+        value = np.log1p(self.ns[i]) * self.idf[at]
+        return at, value / np.sqrt(value @ value), self.classes[i]
+
+
+def follow_the_regularised_leader(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], classes: int, buckets: int = BUCKETS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (buckets + 1, classes) of rows (buckets, values, class); the last is the constant's."""
     z, n = np.zeros((buckets + 1, classes)), np.zeros((buckets + 1, classes))
     random = np.random.default_rng(7)
@@ -143,18 +158,19 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, fold: tuple[int, int] = FOLD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict:
     """languages, idf, weights, temperature."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id", *fold))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    drawn = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    usable = usable.withColumn("drawn", drawn)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("drawn").alias("least")).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return {"languages": [], "idf": None, "weights": None, "temperature": 1.0}
     buckets = buckets_for(len(languages))
     each = max(8, sample_rows // len(languages))
-    drawn = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in sizes], "lang string, share double")
-    picked = usable.withColumn("drawn", drawn).join(F.broadcast(shares), "lang")  # a row for each language.where("drawn < share")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], min(1.0, each / r["n"]))) for r in sizes], "lang string, share double")
+    picked = usable.join(F.broadcast(shares), "lang").where("drawn <= share")  # shares: a row for each language
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5)).cast("int")
     draw = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = materialise(picked.select("lang", part.alias("part"), draw.alias("draw"), "text").mapInArrow(_featured(buckets), "lang string, part int, draw double, at array<int>, n array<long>"))
+    found = materialise(picked.select("lang", part.alias("part"), draw.alias("draw"), "text").mapInArrow(_featured(buckets), "lang string, part int, draw double, at array<int>, n array<int>"))
     features = found.agg(F.sum(F.size("at"))).first()[0] or 0
     rows = found.where(F.col("draw") < SAMPLE_FEATURES / max(features, 1)).drop("draw").toArrow()
     discard(found)
@@ -163,15 +179,17 @@ def train(docs: DataFrame, fold: tuple[int, int] = FOLD, id_col: str = "doc_id",
     if not langs:
         return {"languages": [], "idf": None, "weights": None, "temperature": 1.0}
     order = np.lexsort(([int(n.sum()) for n in ns], [int((a.astype("i8") * n).sum()) for a, n in zip(ats, ns, strict=True)], langs))  # whatever order tasks end in
-    seen = np.bincount(np.concatenate(ats), minlength=buckets)
+    seen = np.zeros(buckets, "i8")
+    for at in ats:  # a row's buckets are distinct
+        seen[at] += 1
     idf = np.log((1 + len(langs)) / (1 + seen)) + 1
     number = {lang: i for i, lang in enumerate(languages)}
-    vectors = []
-    for i in order:
-        value = np.log1p(ns[i]) * idf[ats[i]]
-        vectors.append((parts[i], (ats[i].astype("i8"), value / np.sqrt(value @ value), number[langs[i]])))
-    weights = follow_the_regularised_leader([v for p, v in vectors if p] or [v for _, v in vectors], len(languages), buckets)
-    rest = [v for p, v in vectors if not p]
+
+    def vectors(picked: list[int]) -> _Vectors:
+        return _Vectors([ats[i] for i in picked], [ns[i] for i in picked], [number[langs[i]] for i in picked], idf)
+
+    weights = follow_the_regularised_leader(vectors([i for i in order if parts[i]] or list(order)), len(languages), buckets)
+    rest = vectors([i for i in order if not parts[i]])
     logits = np.array([value @ weights[at] + weights[buckets] for at, value, _ in rest]).reshape(len(rest), len(languages))
     return {"languages": languages, "idf": idf, "weights": weights.astype("f4"), "temperature": temperature(logits, np.array([y for *_, y in rest], int))}
 

@@ -119,6 +119,30 @@ def test_every_language_is_learned(spark):
     assert sum(got[r["doc_id"]] == r["lang"] for r in some) > 0.9 * len(some)
 
 
+def test_language_fits_on_its_sample(spark, monkeypatch):
+    """About sample_rows rows, even among the languages, however many there are."""
+    fitted, fit_rows = [], language.follow_the_regularised_leader
+
+    def seen(rows, *others):
+        fitted.extend(y for *_, y in rows)
+        return fit_rows(rows, *others)
+
+    monkeypatch.setattr(language, "follow_the_regularised_leader", seen)
+    rows = [(i, f"some words {i} of a text", "ab"[i % 20 == 0], "s", 1) for i in range(4000)]
+    model = language.train(spark.createDataFrame(rows, SCHEMA), sample_rows=160)
+    assert model["languages"] == ["a", "b"]
+    assert 40 < fitted.count(0) < 100 and 40 < fitted.count(1) < 100  # 80 of each, a fifth of them held back
+
+
+def test_no_language_goes_without_a_row(spark):
+    """Also if all its rows are drawn late."""
+    late = spark.range(2000).where("pmod(xxhash64('lang', id), 1 << 30) > 1 << 29").where("crc32(cast(cast(id as string) as binary)) % 5 <> 0 and pmod(xxhash64('part', id), 5) <> 0").limit(300).collect()
+    rows = [(r["id"], "zwölf Boxkämpfer", "late", "s", 1) for r in late] + [(i, "some plain words", "other", "s", 1) for i in range(3000, 3300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language.train(df, sample_rows=16)
+    assert language.predict(df.where("lang = 'late'").limit(1), model).first()["lang_pred"] == "late"
+
+
 def test_regularisation_makes_weights_sparse():
     rng = np.random.default_rng(0)
     rows = []
