@@ -4,7 +4,7 @@ The distinct words (matches of the splitting pattern) of a block of documents ar
 laid out as one chain of symbols. An inverted index from token pair to the positions
 where the pair stands is kept in rank order; each merge is applied to all its
 positions at once, and only the pairs of touched neighbours are looked up anew. A
-word keeps its ids for later blocks of the same worker process. Blocks have a bound
+word keeps its ids for later blocks of the same task. Blocks have a bound
 in bytes, so the work is a narrow pass over the corpus: texts are not shuffled.
 
 A merge whose new token can't be part of a pair of lower rank is applied to all
@@ -33,10 +33,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import pieces, table, text_of
+from cellweave.llm.common import pieces, release_memory, table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words that a worker process keeps.
+#: Words that a task keeps.
 KEPT_WORDS = 120_000
 NEVER = np.int64(1 << 40)
 
@@ -207,15 +207,19 @@ def _encoded(spark: SparkSession, path: str, pattern: str, digests: bool, decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, split = _unshipped(shipped.value), regex.compile(pattern)
-        for b in pieces(batches, "text", 1 << 20):
-            n, ids, decoded = [], [], []
-            for own in merges.encode(b.column(1).to_pylist(), split):
-                n.append(len(own) // 4)
-                back = merges.decode(own) if decode else b""
-                ids.append(hashlib.sha256(own).hexdigest() if digests else np.frombuffer(own, "<i4"))
-                decoded.append(hashlib.sha256(back).hexdigest() if digests else back.decode("utf-8", "replace") if decode else None)
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+        try:
+            for b in pieces(batches, "text", 1 << 20):
+                n, ids, decoded = [], [], []
+                for own in merges.encode(b.column(1).to_pylist(), split):
+                    n.append(len(own) // 4)
+                    back = merges.decode(own) if decode else b""
+                    ids.append(hashlib.sha256(own).hexdigest() if digests else np.frombuffer(own, "<i4"))
+                    decoded.append(hashlib.sha256(back).hexdigest() if digests else back.decode("utf-8", "replace") if decode else None)
+                kind = pa.string() if digests else pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+        finally:
+            merges.known.clear()  # the worker outlives the task
+            release_memory()
 
     return run
 

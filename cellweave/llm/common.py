@@ -110,6 +110,11 @@ def with_range(df: DataFrame, column: str, ranges: int, out: str) -> DataFrame:
     return place_among(df, F.col(column), listed, len(bounds), out)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session batches sent to Python hold about a megabyte; with whole texts or sets in them, those of 10,000 rows take tens, in the JVM and again in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
+
+
 def release_memory() -> None:
     """Gives memory that was freed back to the system; Python workers outlive their tasks and would keep it."""
     pa.default_memory_pool().release_unused()

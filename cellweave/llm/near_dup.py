@@ -76,6 +76,10 @@ class WordHashes(dict):
         ws = words(text)
         return np.fromiter(map(self.__getitem__, ws), "u8", len(ws))
 
+    def release(self) -> None:
+        self.clear()
+        release_memory()
+
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
     """Distinct hashes of a text's shingles, ascending, from its words' hashes; of fewer words, of the whole text."""
@@ -115,6 +119,7 @@ def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for b in pieces(batches, "text", 1 << 20):
         for text in b.column(0):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_set(known.of(text.as_py())).view("i8"))], names=["h"])
+    known.release()
 
 
 def recurring(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +160,7 @@ def _featured(often: np.ndarray, counts: np.ndarray):
                 [b.column(0), b.column(1), b.column(2), pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), _lists(parities), _lists(prefixes)],
                 names=["id", "t1", "t2", "sig1", "sig2", "n", "fp", "s", "prefix"],
             )
+        known.release()
 
     return run
 
@@ -164,6 +170,7 @@ def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for b in pieces(batches, "text", 1 << 20):
         yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(known.of(t.as_py())) for t in b.column(1)])], names=["node", "shingles"])
+    known.release()
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -457,3 +458,26 @@ def test_messy_pipeline(spark, tmp_path):
 def test_stage_names_and_guard():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "SimHash near-dedup", "source mixing", "byte-level BPE"]
     assert line_dedup.LEAST == 10
+
+
+def test_stages_send_python_small_batches(spark):
+    """Batches of whole texts stay at about a megabyte, whatever the texts' length."""
+    wide = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('some words ', 200)").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(2200).alias("n_chars"))
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["bytes"]) for b in batches)
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("SimHash near-dedup", "byte-level BPE"):
+            spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+            stage(spark, wide.limit(0), SMALL)
+            most = wide.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0]
+            assert most < 2 << 20, name
+
+
+def test_encoder_keeps_no_words_after_a_task(spark):
+    run = bpe._encoded(spark, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, True)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a few words to keep"])], names=["id", "text"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 1
+    kept = bpe._unshipped(bpe._shipped(bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY)))).known
+    assert not kept
