@@ -1,14 +1,13 @@
 """Neighbourhood operators: exact distances, proximity, edge feather, vignette, Gaussian blur, inpainting and filling.
 
-The distance transform is separable. A window function over each column gives the
-distance to the next feature above and below. A second pass per row takes, over the
-row's columns, the least of squared column offset plus that distance squared. Without
-a radius the second pass runs over whole rows in NumPy, by divide and conquer on the
-least column, which is monotone: O(W log W) for a row of W pixels, a few rows at a
-time. With a radius it is a window of columns in the JVM.
-
-A raster's columns and rows are the units of the two shuffles; they have the raster's
-height and width as a bound, whatever its content.
+The distance transform is separable: the distance to the next feature above and below in
+a pixel's column, then, over the columns of its row, the least of squared column offset
+plus that distance squared. Both passes run in NumPy over a band of rows. A band gets,
+besides its pixels, the last feature above it and the first below it in each of its
+columns; these come from window functions over one row for each band and column. So the
+pixels are shuffled once, by band, and a task's share doesn't grow with the raster's
+height. Over whole rows the second pass is by divide and conquer on the least column,
+which is monotone: O(W log W) for a row of W pixels.
 """
 
 from __future__ import annotations
@@ -20,24 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.functions.expr import clip, col, smoothstep, wrap_byte
 
 #: Stands for no feature in a column.
-FAR = 1_000_000
-#: Radius up to which the row pass is a window of columns.
+FAR = 1 << 30
+#: Radius up to which the row pass goes over the offsets of columns.
 WINDOW_RADIUS = 16
-
-
-def _column_distance(pixels: DataFrame, feature: Column, keys: Sequence[str]) -> DataFrame:
-    """pixels with g: rows to the nearest feature of the same column, FAR if it has none."""
-    column = Window.partitionBy(*keys, "col").orderBy("row")
-    above, below = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
-    here = F.when(feature, F.col("row"))
-    far = F.lit(FAR)
-    up = F.coalesce(F.col("row") - F.max(here).over(above), far)
-    down = F.coalesce(F.min(here).over(below) - F.col("row"), far)
-    return pixels.withColumn("g", F.least(up, down, far).cast("long"))
+#: Rows of a band.
+BAND = 64
+#: Pixels that a task holds at least before it solves them.
+HELD = 1 << 17
 
 
 def _least_by_row(cols: np.ndarray, g2: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -70,61 +63,122 @@ def _least_by_row(cols: np.ndarray, g2: np.ndarray, begins: np.ndarray) -> np.nd
     return out
 
 
-def _row_pass(width: int):
-    """Rows (keys as one string, row, col, g) sorted by the first three, to those without g and with d2."""
+def _least_around(g2: np.ndarray, radius: int) -> np.ndarray:
+    """The same of a matrix g2 with a row for each row and a column for each column, where the least counts within the radius only."""
+    out = g2.copy()
+    for k in range(1, min(radius, g2.shape[1] - 1) + 1):
+        np.minimum(out[:, k:], g2[:, :-k] + k * k, out=out[:, k:])
+        np.minimum(out[:, :-k], g2[:, k:] + k * k, out=out[:, :-k])
+    return out
 
-    def solve(batch: pa.Table) -> pa.RecordBatch:
-        key, row, cols, g = (batch.column(i).combine_chunks() for i in range(4))
-        r, c, far = row.to_numpy().astype("i8"), cols.to_numpy().astype("i8"), g.to_numpy()
-        codes = key.dictionary_encode().indices.to_numpy()
-        new = np.flatnonzero((r[1:] != r[:-1]) | (codes[1:] != codes[:-1])) + 1
-        d2 = _least_by_row(c, far * far, np.concatenate(([0], new, [len(r)])))
-        return pa.RecordBatch.from_arrays([key, row, cols, pa.array(d2, pa.int64())], names=["key", "row", "col", "d2"])
+
+def _solve(row: np.ndarray, col: np.ndarray, on: np.ndarray, own: np.ndarray, radius: int | None) -> np.ndarray:
+    """The squared distance of own pixels of a band to the nearest feature; the other pixels are features above and below it."""
+    top, bottom = int(row[own].min()), int(row[own].max())
+    cols, at = np.unique(col, return_inverse=True)
+    shape = bottom - top + 1, len(cols)
+    line = np.clip(row, top, bottom) - top
+    above, below = np.full(shape, -FAR, "i8"), np.full(shape, 2 * FAR, "i8")
+    up, down = on & (row <= bottom), on & (row >= top)
+    np.maximum.at(above, (line[up], at[up]), row[up])
+    np.minimum.at(below, (line[down], at[down]), row[down])
+    np.maximum.accumulate(above, axis=0, out=above)
+    below = np.minimum.accumulate(below[::-1], axis=0)[::-1]
+    rows = np.arange(top, bottom + 1)[:, None]
+    g = np.minimum(np.minimum(rows - above, below - rows), FAR)
+    # the columns of a row are those of its pixels
+    there = np.zeros(shape, bool)
+    there[line[own], at[own]] = True
+    g2 = np.where(there, g * g, FAR * FAR)
+    if radius is not None and radius <= WINDOW_RADIUS and cols[-1] - cols[0] == len(cols) - 1:
+        d2 = _least_around(g2, radius)
+    else:
+        d2 = _least_by_row(np.tile(cols, shape[0]), g2.ravel(), np.arange(shape[0] + 1) * shape[1]).reshape(shape)
+    return d2[line, at]
+
+
+def _band_pass(units: Sequence[str], kept: Sequence[str], radius: int | None):
+    """Tables sorted by the units (a key as text or whole numbers) to their own rows, with the kept columns and d2."""
+    most = FAR * FAR if radius is None else radius * radius + 1
+
+    def changes(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(t.num_rows - 1, 0), bool)
+        for u in units:
+            c = t.column(u).combine_chunks()
+            codes = c.dictionary_encode().indices.to_numpy() if pa.types.is_string(c.type) else c.cast(pa.int64()).fill_null(-(1 << 62)).to_numpy()
+            new |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new) + 1
+
+    def solve(t: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = t.column("__own").to_numpy()
+        row, col = (t.column(x).to_numpy() for x in ("__row", "__col"))
+        placed = ~(np.isnan(row) | np.isnan(col)) if t.column("__row").null_count or t.column("__col").null_count else None
+        on, d2 = t.column("__on").to_numpy(), np.full(t.num_rows, most, "i8")
+        for i, j in zip([0, *cuts], [*cuts, t.num_rows], strict=True):
+            part = slice(i, j) if placed is None else i + np.flatnonzero(placed[i:j])
+            if own[part].any():
+                d2[part] = _solve(row[part].astype("i8"), col[part].astype("i8"), on[part], own[part], radius)
+        found = t.select(kept).append_column("__d2", pa.array(d2, mask=d2 >= most))
+        yield from found.filter(pa.array(own)).combine_chunks().to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        n = 0
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
-            if sum(x.num_rows for x in held) < max(width, 1 << 16):
+            n += b.num_rows
+            if n < HELD:
                 continue
             whole = pa.Table.from_batches(held)
-            r, k = whole.column("row").to_numpy(), whole.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
-            ends = np.flatnonzero((r[1:] != r[:-1]) | (k[1:] != k[:-1])) + 1
-            if len(ends):  # the last row may go on in the next batch
-                yield solve(whole.slice(0, int(ends[-1])))
-                held = whole.slice(int(ends[-1])).combine_chunks().to_batches()
+            cuts = changes(whole)
+            if len(cuts):  # the last unit may go on in the next batch
+                yield from solve(whole.slice(0, int(cuts[-1])), cuts[:-1])
+                held = whole.slice(int(cuts[-1])).combine_chunks().to_batches()
+                n = sum(x.num_rows for x in held)
         if held:
-            yield solve(pa.Table.from_batches(held))
+            whole = pa.Table.from_batches(held)
+            yield from solve(whole, changes(whole))
 
     return run
 
 
+def _with_distance(pixels: DataFrame, feature: Column, keys: Sequence[str], radius: int | None, tile: Sequence[str] = ()) -> DataFrame:
+    """pixels with __d2, the squared distance to the nearest feature, null if there is none (within the radius).
+
+    With columns that number tiles, each tile is solved by itself.
+    """
+    keys, kept = list(keys), pixels.columns
+    places = [F.col(x).cast("double" if pixels.schema[x].nullable else "long").alias(f"__{x}") for x in ("row", "col")]
+    units = [*(["__key"] if keys else []), *(tile or ["__band"])]
+    key = [F.to_json(F.struct(*keys)).alias("__key")] if keys else []
+    band = [] if tile else [F.floor(F.col("row") / BAND).alias("__band")]
+    cells = pixels.select("*", *key, *band, *places, F.coalesce(feature, F.lit(False)).alias("__on"), F.lit(True).alias("__own"))
+    if not tile:
+        here = F.when(F.col("__on"), F.col("__row"))
+        ends = cells.groupBy(*units, "__col").agg(F.min(here).alias("first"), F.max(here).alias("last"))
+        line = Window.partitionBy(*units[:-1], "__col")
+        # the rows after a band are those before it in the falling order: a frame that only grows, in one go
+        before = lambda order: line.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        near = ends.select(*units, "__col", F.max("last").over(before(F.col("__band").asc())).alias("above"), F.min("first").over(before(F.col("__band").desc())).alias("below"))
+        edges = near.select(*units, "__col", F.explode(F.array("above", "below")).alias("__row")).where("__row is not null")
+        if radius is not None:
+            edges = edges.where((F.col("__row") >= F.col("__band") * BAND - radius) & (F.col("__row") < (F.col("__band") + 1) * BAND + radius))
+        cells = cells.unionByName(edges.withColumns({"__on": F.lit(True), "__own": F.lit(False)}), allowMissingColumns=True)
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in pixels.schema] + [T.StructField("__d2", T.LongType())])
+    return cells.repartition(n, *units).sortWithinPartitions(*units).mapInArrow(_band_pass(units, kept, radius), schema)
+
+
 def squared_distance(pixels: DataFrame, feature: Column, keys: Iterable[str] = (), radius: int | None = None) -> DataFrame:
     """Key columns, row, col and d2: the squared distance in pixels to the nearest feature, null if there is none (within the radius).
 
     A raster without any feature has no distances: all are null.
     """
     keys = list(keys)
-    spark = pixels.sparkSession
-    narrow = _column_distance(pixels.select(*keys, "row", "col", feature.alias("__f")), F.col("__f"), keys).drop("__f")
-    if radius is not None and radius <= WINDOW_RADIUS:
-        # the 2 * radius + 1 pixels around hold all within the radius, however many are missing
-        line = Window.partitionBy(*keys, "row").orderBy("col")
-        around = narrow.withColumns({f"__{x}{k}": F.lag(x, k).over(line) for k in range(-radius, radius + 1) if k for x in ("col", "g")})
-        across = lambda k: F.col(f"__col{k}").cast("long") - F.col("col")
-        away = [across(k) * across(k) + F.col(f"__g{k}") * F.col(f"__g{k}") for k in range(-radius, radius + 1) if k]
-        found = around.withColumn("d2", F.least(F.col("g") * F.col("g"), *away) if away else F.col("g") * F.col("g"))
-        return found.select(*keys, "row", "col", F.when(F.col("d2") <= radius * radius, F.col("d2")).alias("d2"))
-    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = narrow.select(key.alias("key"), "row", "col", "g").repartition(n, "key", "row").sortWithinPartitions("key", "row", "col")
-    solved = rows.mapInArrow(_row_pass(1 << 16), "key string, row int, col int, d2 long")
-    limit = FAR * FAR if radius is None else radius * radius + 1
-    d2 = F.when(F.col("d2") < limit, F.col("d2")).alias("d2")
-    parsed = [F.from_json("key", ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys)).alias("__k")] if keys else []
-    return solved.select(*parsed, "row", "col", d2).select(*(F.col(f"__k.{k}").alias(k) for k in keys), "row", "col", "d2")
+    narrow = pixels.select(*keys, "row", "col", feature.alias("__f"))
+    return _with_distance(narrow, F.col("__f"), keys, radius).select(*keys, "row", "col", F.col("__d2").alias("d2"))
 
 
 def proximity(pixels: DataFrame, targets: Sequence[int], code: str = "code", maxdist: float | None = None, keys: Iterable[str] = ()) -> DataFrame:
@@ -161,8 +215,8 @@ def edge_feather(pixels: DataFrame, mask: str = "m", sigma: float = 1.0, truncat
     pad = halo(sigma, truncate)
     radius = feather_radius(sigma)
     feature = F.coalesce(wrap_byte(F.col(mask)) != 0, F.lit(False))
-    rows = pixels.select(*keys, "row", "col", feature.alias("__on"))
-    owned = F.lit(True)
+    rows = pixels.select(*keys, "row", "col", feature.alias("__f"))
+    owned, tile = F.lit(True), []
     if tile_size is not None:
         if tile_size <= 0:
             raise ValueError("tile_size must be above 0")
@@ -172,9 +226,9 @@ def edge_feather(pixels: DataFrame, mask: str = "m", sigma: float = 1.0, truncat
             high = F.floor((F.col(axis) + pad) / tile_size).cast("int")
             rows = rows.withColumn(f"tile_{axis}", F.explode(F.sequence(low, high)))
         owned = (F.floor(F.col("row") / tile_size) == F.col("tile_row")) & (F.floor(F.col("col") / tile_size) == F.col("tile_col"))
-    units = [*keys, *(["tile_row", "tile_col"] if tile_size is not None else [])]
-    found = squared_distance(rows, F.col("__on"), units, radius)
-    alpha = F.coalesce(F.floor(255.0 * F.exp(-(F.col("d2").cast("double") / (2.0 * sigma * sigma)))).cast("int"), F.lit(0))
+        tile = ["tile_row", "tile_col"]
+    found = _with_distance(rows, F.col("__f"), keys, radius, tile)
+    alpha = F.coalesce(F.floor(255.0 * F.exp(-(F.col("__d2").cast("double") / (2.0 * sigma * sigma)))).cast("int"), F.lit(0))
     return found.where(owned).select(*keys, "row", "col", alpha.alias("alpha"))
 
 
