@@ -41,7 +41,7 @@ def plan(spark, name):
     return queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString().lower()
 
 
-@pytest.mark.parametrize("name", ["proximity", "edge_feather"])
+@pytest.mark.parametrize("name", ["proximity", "edge_feather", "proximity_capped"])
 def test_no_frame_is_read_again_for_each_pixel(spark, name):
     """A frame up to the last row costs the square of a column's pixels; windows are over the bands' ends."""
     found = plan(spark, name)
