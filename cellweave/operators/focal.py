@@ -13,7 +13,7 @@ which is monotone: O(W log W) for a row of W pixels.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +97,8 @@ def _solve(row: np.ndarray, col: np.ndarray, on: np.ndarray, own: np.ndarray, ra
     return d2[line, at]
 
 
-def _band_pass(units: Sequence[str], kept: Sequence[str], radius: int | None):
-    """Tables sorted by the units (a key as text or whole numbers) to their own rows, with the kept columns and d2."""
+def _band_pass(units: Sequence[str], kept: Sequence[str], radius: int | None, field: Noise | None = None):
+    """Tables sorted by the units (a key as text or whole numbers) to their own rows, with the kept columns, d2 and a field's values."""
     most = FAR * FAR if radius is None else radius * radius + 1
 
     def changes(t: pa.Table) -> np.ndarray:
@@ -114,11 +114,17 @@ def _band_pass(units: Sequence[str], kept: Sequence[str], radius: int | None):
         row, col = (t.column(x).to_numpy() for x in ("__row", "__col"))
         placed = ~(np.isnan(row) | np.isnan(col)) if t.column("__row").null_count or t.column("__col").null_count else None
         on, d2 = t.column("__on").to_numpy(), np.full(t.num_rows, most, "i8")
+        n = np.full(t.num_rows if field is not None else 0, np.nan)
         for i, j in zip([0, *cuts], [*cuts, t.num_rows], strict=True):
             part = slice(i, j) if placed is None else i + np.flatnonzero(placed[i:j])
-            if own[part].any():
-                d2[part] = _solve(row[part].astype("i8"), col[part].astype("i8"), on[part], own[part], radius)
+            r, c, mine = row[part].astype("i8"), col[part].astype("i8"), own[part]
+            if mine.any():
+                d2[part] = _solve(r, c, on[part], mine, radius)
+            if field is not None:
+                n[np.arange(i, j)[mine] if placed is None else part[mine]] = field.at(r[mine], c[mine])
         found = t.select(kept).append_column("__d2", pa.array(d2, mask=d2 >= most))
+        if field is not None:
+            found = found.append_column("__n", pa.array(n, mask=np.isnan(n)))
         yield from found.filter(pa.array(own)).combine_chunks().to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +150,11 @@ def _band_pass(units: Sequence[str], kept: Sequence[str], radius: int | None):
     return run
 
 
-def _with_distance(pixels: DataFrame, feature: Column, keys: Sequence[str], radius: int | None, tile: Sequence[str] = ()) -> DataFrame:
+def _with_distance(pixels: DataFrame, feature: Column, keys: Sequence[str], radius: int | None, tile: Sequence[str] = (), field: Noise | None = None) -> DataFrame:
     """pixels with __d2, the squared distance to the nearest feature, null if there is none (within the radius).
 
-    With columns that number tiles, each tile is solved by itself.
+    With columns that number tiles, each tile is solved by itself. A field adds __n, its
+    value there, null outside of its raster.
     """
     keys, kept = list(keys), pixels.columns
     places = [F.col(x).cast("double" if pixels.schema[x].nullable else "long").alias(f"__{x}") for x in ("row", "col")]
@@ -167,8 +174,8 @@ def _with_distance(pixels: DataFrame, feature: Column, keys: Sequence[str], radi
             edges = edges.where((F.col("__row") >= F.col("__band") * BAND - radius) & (F.col("__row") < (F.col("__band") + 1) * BAND + radius))
         cells = cells.unionByName(edges.withColumns({"__on": F.lit(True), "__own": F.lit(False)}), allowMissingColumns=True)
     n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in pixels.schema] + [T.StructField("__d2", T.LongType())])
-    return cells.repartition(n, *units).sortWithinPartitions(*units).mapInArrow(_band_pass(units, kept, radius), schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in pixels.schema] + [T.StructField("__d2", T.LongType())] + [T.StructField("__n", T.DoubleType())] * (field is not None))
+    return cells.repartition(n, *units).sortWithinPartitions(*units).mapInArrow(_band_pass(units, kept, radius, field), schema)
 
 
 def squared_distance(pixels: DataFrame, feature: Column, keys: Iterable[str] = (), radius: int | None = None) -> DataFrame:
@@ -244,9 +251,8 @@ def vignette_pixels(height: int, width: int, border: float = 5.0, noise: float =
 def vignette(pixels: DataFrame, height: int, width: int, alpha: str | None = None, border: float = 5.0, noise: float = 0.0, warp: float = 0.0, replace_alpha: bool = False, seed: int | None = None, out: str = "alpha", keys: Iterable[str] = ()) -> DataFrame:
     """pixels with an alpha that fades towards the edges (or towards where alpha is 0).
 
-    With noise or warp, NumPy's generator draws the fields whole, in the order warp then
-    grain, as their values depend on the size; they are made where the driver runs and
-    joined by row, so they are for rasters that fit there.
+    With noise or warp, the fields are those that NumPy's generator draws whole, in the
+    order warp then grain; each band of rows draws its part of them.
     """
     keys = list(keys)
     if border <= 0:
@@ -254,61 +260,99 @@ def vignette(pixels: DataFrame, height: int, width: int, alpha: str | None = Non
     fade, grain, pull = vignette_pixels(height, width, border, noise, warp)
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == height - 1) | (F.col("col") == width - 1)
     outside = edge | (F.col(alpha) <= 0) if alpha else edge
-    d = F.sqrt(F.col("d2").cast("double"))
-    found = squared_distance(pixels, outside, keys, None if pull else fade + grain)
+    field = Noise(height, width, fade, grain, pull, seed) if grain or pull else None
+    at = [*keys, "row", "col"]
+    placed = pixels.select(*at, *(c for c in pixels.columns if c not in at)).dropna(subset=at)
+    found = _with_distance(placed, outside, keys, None if pull else fade + grain, field=field)
     # beyond the radius a pixel is clear of the fade, whatever the grain
-    found = found.select(*keys, "row", "col", F.coalesce(d, F.lit(float(fade + grain))).alias("__d"))
-    if grain or pull:
-        found = found.join(_noise(pixels.sparkSession, height, width, fade, grain, pull, seed), ["row", "col"]).withColumn("__d", F.col("__d") + F.col("__n")).drop("__n")
-    level = F.rint(clip(F.col("__d"), 0.0, float(fade)) / float(fade) * 255.0)
+    d = F.coalesce(F.sqrt(F.col("__d2").cast("double")), F.lit(float(fade + grain)))
+    if field is not None:
+        found, d = found.where("__n is not null"), d + F.col("__n")
+    level = F.rint(clip(d, 0.0, float(fade)) / float(fade) * 255.0)
     smooth = F.rint(smoothstep(0.0, 1.0, level / 255.0) * 255.0)
-    joined = pixels.join(found, [*keys, "row", "col"])
     value = smooth if alpha is None or replace_alpha else F.rint(F.col(alpha) * smooth / 255.0)
-    return joined.withColumn(out, value.cast("int")).drop("__d")
+    return found.withColumn(out, value.cast("int")).drop("__d2", "__n")
+
+
+#: Values beyond those used that a part of a spline is solved with; each takes a cut's influence down to 0.27 of itself.
+SPLINE_REACH = 40
+
+
+def _spline(values: np.ndarray, begins: bool, ends: bool) -> np.ndarray:
+    """Coefficients of a cubic spline along the first axis, mirrored where the values begin or end."""
+    n = len(values)
+    lower, diagonal, upper = np.full(n, 1 / 6), np.full(n, 4 / 6), np.full(n, 1 / 6)
+    upper[0], lower[-1] = (2 if begins else 1) / 6, (2 if ends else 1) / 6
+    c = values.astype("f8")
+    for i in range(1, n):
+        m = lower[i] / diagonal[i - 1]
+        diagonal[i] -= m * upper[i - 1]
+        c[i] -= m * c[i - 1]
+    c[-1] /= diagonal[-1]
+    for i in range(n - 2, -1, -1):
+        c[i] = (c[i] - upper[i] * c[i + 1]) / diagonal[i]
+    return c
+
+
+def _zoom_rows(values: Callable[[int, int], np.ndarray], n: int, size: int, low: int, high: int) -> np.ndarray:
+    """Rows low to high of the `size` to which n rows are enlarged; values(a, b) gives rows a to b of the n."""
+    if n == 1:
+        return np.repeat(values(0, 1), high - low, axis=0)
+    x = np.arange(low, high) * ((n - 1) / (size - 1) if size > 1 else 0.0)
+    if size > 1 and high == size:
+        x[-1] = n - 1
+    i = np.minimum(x.astype(int), n - 2)
+    begin, end = max(0, int(i[0]) - 1 - SPLINE_REACH), min(n, int(i[-1]) + 3 + SPLINE_REACH)
+    c = _spline(values(begin, end), begin == 0, end == n)
+    t = (x - i)[:, None]
+    mirrored = lambda k: np.where(k < 0, -k, np.where(k >= n, 2 * (n - 1) - k, k))
+    basis = ((1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6)
+    return sum(b * c[mirrored(i + k - 1) - begin] for k, b in enumerate(basis))
 
 
 def cubic_zoom(field: np.ndarray, height: int, width: int) -> np.ndarray:
     """A field enlarged by cubic splines through its values, corner to corner."""
+    axis = lambda values, size: _zoom_rows(lambda a, b: values[a:b], len(values), size, 0, size)
+    return axis(axis(field, height).T, width).T
 
-    def axis(values: np.ndarray, size: int) -> np.ndarray:
-        n = len(values)
-        if n == 1:
-            return np.repeat(values, size, axis=0)
-        # spline coefficients with mirrored ends
-        system = np.diag(np.full(n, 4.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
-        system[0, 1] = system[-1, -2] = 2.0
-        c = np.linalg.solve(system / 6.0, values)
-        x = np.linspace(0, n - 1, size)
-        i = np.minimum(x.astype(int), n - 2)
-        t = (x - i)[:, None]
-        mirrored = lambda k: np.where(k < 0, -k, np.where(k >= n, 2 * (n - 1) - k, k))
-        basis = ((1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6)
-        return sum(b * c[mirrored(i + k - 1)] for k, b in enumerate(basis))
 
-    return axis(axis(field, height).T, width).T
+class Noise:
+    """What is added to the distance: octaves of uniform noise, each with half the scale and amplitude of the one before, and grain.
 
+    Any rows of it can be had by themselves: the generator is moved on to their draws.
+    """
 
-def fractal_noise(height: int, width: int, scale: float, random: np.random.Generator, octaves: int = 3) -> np.ndarray:
-    """Octaves of uniform noise, each with half the scale and amplitude of the one before, in about -1..1."""
-    total, weight = np.zeros((height, width), "f4"), 0.0
-    for k in range(octaves):
-        here = scale / 2**k
-        small = random.uniform(-1.0, 1.0, (max(1, int(height / here)), max(1, int(width / here)))).astype("f4")
-        total += (cubic_zoom(small.astype("f8"), height, width) * 0.5**k).astype("f4")
-        weight += 0.5**k
-    return total / np.float32(weight)
-
-
-def _noise(spark, height: int, width: int, fade: int, grain: int, pull: int, seed: int | None) -> DataFrame:
-    """row, col, __n: what is added to the distance."""
-    random = np.random.default_rng(seed)
-    field = np.zeros((height, width), "f4")
-    if pull:
-        field += fractal_noise(height, width, max(50.0, fade * 1.5), random) * np.float32(pull) - np.float32(pull)
-    if grain:
-        field -= random.uniform(0.0, float(grain), (height, width)).astype("f4")
-    lines = pa.table({"row": pa.array(np.arange(height), pa.int32()), "v": pa.array(list(field.astype("f8")), pa.list_(pa.float64()))})
-    return spark.createDataFrame(lines).select("row", F.posexplode("v").alias("col", "__n"))
+    def __init__(self, height: int, width: int, fade: int, grain: int, pull: int, seed: int | None, octaves: int = 3):
+        self.height, self.width, self.grain, self.pull = height, width, grain, pull
+        self.seed = np.random.SeedSequence(seed).entropy  # without a seed all tasks share the one drawn here
+        scales = [max(50.0, fade * 1.5) / 2**k for k in range(octaves if pull else 0)]
+        self.sizes = [(max(1, int(height / s)), max(1, int(width / s))) for s in scales]
+
+    def _draw(self, skip: int, shape: tuple[int, int], low: float, high: float) -> np.ndarray:
+        return np.random.Generator(np.random.PCG64(self.seed).advance(skip)).uniform(low, high, shape).astype("f4")
+
+    def rows(self, low: int, high: int) -> np.ndarray:
+        shape = high - low, self.width
+        field, total, weight, skip = np.zeros(shape, "f4"), np.zeros(shape, "f4"), 0.0, 0
+        for k, (h, w) in enumerate(self.sizes):
+            small = _zoom_rows(lambda a, b, w=w, skip=skip: self._draw(skip + a * w, (b - a, w), -1.0, 1.0).astype("f8"), h, self.height, low, high)
+            total += (_zoom_rows(lambda a, b, s=small: s.T[a:b], w, self.width, 0, self.width).T * 0.5**k).astype("f4")
+            weight += 0.5**k
+            skip += h * w
+        if self.pull:
+            field += total / np.float32(weight) * np.float32(self.pull) - np.float32(self.pull)
+        if self.grain:
+            field -= self._draw(skip + low * self.width, shape, 0.0, float(self.grain))
+        return field.astype("f8")
+
+    def at(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """The noise of pixels of a band, NaN outside of the raster."""
+        inside = (row >= 0) & (row < self.height) & (col >= 0) & (col < self.width)
+        out = np.full(len(row), np.nan)
+        if inside.any():
+            low = int(row[inside].min())
+            out[inside] = self.rows(low, int(row[inside].max()) + 1)[row[inside] - low, col[inside]]
+        return out
 
 
 # ---------------------------------------------------------------- convolution, inpainting, filling

@@ -46,3 +46,28 @@ def test_no_frame_is_read_again_for_each_pixel(spark, name):
     """A frame up to the last row costs the square of a column's pixels; windows are over the bands' ends."""
     found = plan(spark, name)
     assert "unboundedfollowing" not in found and found.count("hashpartitioning(col") == 0
+
+
+@pytest.mark.parametrize("shape", [(700, 40), (5, 300), (1, 1), (130, 1)])
+def test_noise_by_bands_is_the_whole_field(shape):
+    """The bands' parts equal the fields that NumPy draws whole."""
+    height, width = shape
+    fade, grain, pull, seed = 40, 3, 20, 11
+    random = np.random.default_rng(seed)
+    total, weight, whole = np.zeros(shape, "f4"), 0.0, np.zeros(shape, "f4")
+    for k in range(3):
+        scale = max(50.0, fade * 1.5) / 2**k
+        small = random.uniform(-1.0, 1.0, (max(1, int(height / scale)), max(1, int(width / scale)))).astype("f4")
+        total += (focal.cubic_zoom(small.astype("f8"), height, width) * 0.5**k).astype("f4")
+        weight += 0.5**k
+    whole += total / np.float32(weight) * np.float32(pull) - np.float32(pull)
+    whole -= random.uniform(0.0, float(grain), shape).astype("f4")
+    noise = focal.Noise(height, width, fade, grain, pull, seed)
+    parts = np.concatenate([noise.rows(i, min(i + 64, height)) for i in range(0, height, 64)])
+    np.testing.assert_allclose(parts, whole, rtol=1e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["vignette_noise"])
+def test_vignettes_shuffle_their_pixels_once(spark, name):
+    found = plan(spark, name)
+    assert "unboundedfollowing" not in found and "join" not in found and "localtablescan" not in found
