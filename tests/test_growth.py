@@ -67,7 +67,7 @@ def test_noise_by_bands_is_the_whole_field(shape):
     np.testing.assert_allclose(parts, whole, rtol=1e-6, atol=1e-6)
 
 
-@pytest.mark.parametrize("name", ["vignette_noise", "vignette_alpha"])
+@pytest.mark.parametrize("name", ["vignette_noise", "vignette_alpha", "vignette_plain"])
 def test_vignettes_shuffle_their_pixels_once(spark, name):
     found = plan(spark, name)
     assert "unboundedfollowing" not in found and "join" not in found and "localtablescan" not in found
