@@ -143,10 +143,8 @@ def file_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LAYERS} SELECT row, col, CASE WHEN code <> 40 THEN round(v, 6) END AS b1 FROM layers")
 def file_ascii_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, g = f"{folder(spark, 'file_ascii_grid')}/v.asc", grid(spark, sf_dir)
-    rows = layers(spark, sf_dir).orderBy("row", "col").select(F.when(F.col("code") == 40, -9999.0).otherwise(F.round("v", 6)).alias("v")).collect()
-    with open(path, "w") as file:
-        file.write(f"ncols {g.width}\nnrows {g.height}\nxllcorner {g.x}\nyllcorner {g.y + g.height * g.dy}\ncellsize {g.dx}\nNODATA_value -9999\n")
-        file.writelines(f"{r['v']!r}\n" for r in rows)
+    values = layers(spark, sf_dir).select("row", "col", F.when(F.col("code") != 40, F.round("v", 6)).alias("v"))
+    grids.write_ascii(values, path, g, "v", -9999.0)
     return grids.read_ascii(spark, path).drop("path")
 
 

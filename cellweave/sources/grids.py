@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators.geometric import Grid
 from cellweave.sources import geotiff, tiff
+from cellweave.sources.tables import shared_folder
 
 # ---------------------------------------------------------------- ASCII grids
 
@@ -35,23 +37,127 @@ def ascii_header(text: str) -> tuple[Grid, float | None, int]:
     return Grid(x, y + height * size, size, -size, width, height), found.get("nodata_value"), at
 
 
+#: Characters of a file's beginning that hold its header.
+BEGINNING = 4096
+
+
 def read_ascii(spark: SparkSession, path: str) -> DataFrame:
-    """path, row, col, b1 (a double, null for nodata) of ASCII grids in any store that Spark reads, a file to a task."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    """path, row, col, b1 (a double, null for nodata) of ASCII grids in any store that Spark reads, a part of a file to a task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A first pass counts the words of each part of a file, so that the parts know where
+    their values lie in the raster.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
+        """Runs of lines of one part of a file."""
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                g, nodata, at = ascii_header(text)
-                values = np.array(text[at:].split(), "f8")
-                if len(values) != g.width * g.height:
-                    raise tiff.NotARaster(f"{name} has {len(values)} values, not {g.width * g.height}")
-                for i in range(0, len(values), 1 << 16):
-                    part = values[i : i + (1 << 16)]
-                    row, col = np.divmod(np.arange(i, i + len(part)), g.width)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(row.astype("i4")), pa.array(col.astype("i4")), pa.array(part, mask=part == nodata if nodata is not None else None)], names=["path", "row", "col", "b1"])
-
-    return files.mapInArrow(run, "path string, row int, col int, b1 double")
+            names, starts = b.column(0).dictionary_encode(), b.column(1).to_numpy()
+            codes, texts = names.indices.to_numpy(), b.column(2)
+            cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j > i:
+                    yield (names.dictionary[int(codes[i])].as_py(), int(starts[i])), texts.slice(i, j - i).to_pylist()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], list] = {}
+        for part, texts in parts(batches):
+            one = found.setdefault(part, [0, ""])
+            one[0] += sum(len(x.split()) for x in texts)
+            for x in texts if part[1] == 0 else ():
+                if len(one[1]) >= BEGINNING:
+                    break
+                one[1] += x[:BEGINNING] + "\n"
+        yield pa.RecordBatch.from_pylist([{"path": p, "start": s, "n": n, "head": h} for (p, s), (n, h) in found.items()], schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("head", pa.string())]))
+
+    # a row for each part of a file
+    grids: dict[str, tuple[Grid, float | None]] = {}
+    places: dict[tuple[str, int], tuple[int, int]] = {}
+    ends: dict[str, int] = {}
+    for r in sorted(lines.mapInArrow(count, "path string, start long, n long, head string").collect(), key=lambda r: (r["path"], r["start"])):
+        name = r["path"]
+        if name not in grids:
+            g, nodata, at = ascii_header(r["head"])
+            grids[name], ends[name] = (g, nodata), -len(r["head"][:at].split())
+        places[name, r["start"]] = ends[name], r["n"]
+        ends[name] += r["n"]
+    for name, (g, _) in grids.items():
+        if ends[name] != g.width * g.height:
+            raise tiff.NotARaster(f"{name} has {ends[name]} values, not {g.width * g.height}")
+
+    def pieces(texts: list[str]) -> Iterator[list[str]]:
+        """The words of lines, of about a megabyte of lines at a time."""
+        begin = size = 0
+        for i, x in enumerate(texts, 1):
+            size += len(x)
+            if size > 1 << 20 or i == len(texts):
+                yield " ".join(texts[begin:i]).split()
+                begin, size = i, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        for part, texts in parts(batches):
+            (g, nodata), (first, n) = grids[part[0]], places[part]
+            for words in pieces(texts):
+                at = first + seen.get(part, 0)
+                seen[part] = seen.get(part, 0) + len(words)
+                words, at = words[max(0, -at) :], max(0, at)
+                for i in range(0, len(words), 1 << 16):
+                    values = np.array(words[i : i + (1 << 16)], "f8")
+                    row, col = np.divmod(np.arange(at + i, at + i + len(values)), g.width)
+                    name = pa.array([part[0]]).take(pa.array(np.zeros(len(values), "i4")))
+                    yield pa.RecordBatch.from_arrays([name, pa.array(row.astype("i4")), pa.array(col.astype("i4")), pa.array(values, mask=values == nodata if nodata is not None else None)], names=["path", "row", "col", "b1"])
+        for part, n in seen.items():
+            if n != places[part][1]:
+                raise tiff.NotARaster(f"{part[0]} changed while it was read")
+
+    return lines.mapInArrow(run, "path string, row int, col int, b1 double")
+
+
+def write_ascii(pixels: DataFrame, path: str, grid: Grid, band: str, nodata: float) -> None:
+    """One ASCII grid; null and missing pixels are nodata.
+
+    The tasks write the values as text, each a run of rows, into the shared folder; the
+    driver puts the runs in the file one after the other, at the places that their
+    lengths tell.
+    """
+    spark = pixels.sparkSession
+    per = max(1, (1 << 16) // grid.width)
+    rows = pixels.select(F.col("row").cast("int"), F.col("col").cast("int"), F.coalesce(F.col(band).cast("double"), F.lit(float(nodata))).alias("v"))
+    whole = f"row >= 0 and row < {grid.height} and col >= 0 and col < {grid.width}"
+
+    def encode(key: tuple, cells: pa.Table) -> pa.Table:
+        run = key[0].as_py()
+        a = np.full((min(per, grid.height - run * per), grid.width), float(nodata))
+        cells = cells.filter(cells.column("v").is_valid())
+        a[cells.column("row").to_numpy() - run * per, cells.column("col").to_numpy()] = cells.column("v").to_numpy()
+        text = "".join(" ".join(map(repr, line)) + "\n" for line in a.tolist()).encode()
+        return pa.table({"run": pa.array([run], pa.int32()), "n": pa.array([len(text)], pa.int64()), "text": pa.array([text], pa.binary())})
+
+    runs = -(-grid.height // per)
+    # a run without any pixel is written as well
+    every = spark.range(runs).select((F.col("id") * per).cast("int").alias("row"), F.lit(0).alias("col"), F.lit(None).cast("double").alias("v"))
+    cells = rows.where(whole).unionByName(every).select("*", F.floor(F.col("row") / per).cast("int").alias("run"))
+    stored = f"{shared_folder(spark)}/cellweave-{uuid.uuid4().hex}"
+    encoded = cells.groupBy("run").applyInArrow(encode, "run int, n long, text binary")
+    partial = f"{path}.partial"
+    try:
+        # a group isn't split over files, and a file holds few of them
+        encoded.write.option("maxRecordsPerFile", 8).option("compression", "none").parquet(stored)
+        table = spark.read.schema("run int, n long, text binary").parquet(stored)
+        sizes = dict(table.select("run", "n").toLocalIterator())
+        with open(partial, "wb") as file:
+            file.write(f"ncols {grid.width}\nnrows {grid.height}\nxllcorner {grid.x}\nyllcorner {grid.y + grid.height * grid.dy}\ncellsize {grid.dx}\nNODATA_value {nodata:g}\n".encode())
+            begins = np.cumsum([file.tell(), *(sizes[i] for i in range(runs))])
+            for r in table.select("run", "text").toLocalIterator():
+                file.seek(int(begins[r["run"]]))
+                file.write(r["text"])
+        os.replace(partial, path)
+    finally:
+        if os.path.exists(partial):
+            os.unlink(partial)
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 # ---------------------------------------------------------------- virtual mosaics

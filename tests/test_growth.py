@@ -71,3 +71,38 @@ def test_noise_by_bands_is_the_whole_field(shape):
 def test_vignettes_shuffle_their_pixels_once(spark, name):
     found = plan(spark, name)
     assert "unboundedfollowing" not in found and "join" not in found and "localtablescan" not in found
+
+
+def test_ascii_grids_are_written_and_read_in_parts(spark, tmp_path):
+    """Neither the driver nor one task holds a grid; null and missing pixels are nodata."""
+    from cellweave.operators.geometric import Grid
+    from cellweave.sources import grids, tiff
+
+    grid = Grid(5.0, 9.0, 2.0, -2.0, 300, 500)  # three runs of rows
+    cells = spark.range(300 * 500).select((F.col("id") / 300).cast("int").alias("row"), (F.col("id") % 300).cast("int").alias("col"), F.when(F.col("id") % 7 != 0, F.col("id") / 8).alias("v"))
+    kept = cells.where("row < 218 or row > 460").where("row <> 3 or col <> 4")
+    path = str(tmp_path / "a.asc")
+    grids.write_ascii(kept, path, grid, "v", -9999.0)
+    with open(path) as file:
+        assert grids.ascii_header(file.read())[:2] == (Grid(5.0, 9.0, 2.0, -2.0, 300, 500), -9999.0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        found = grids.read_ascii(spark, str(tmp_path)).drop("path")
+        assert found.rdd.getNumPartitions() > 3
+        want = cells.join(kept.select("row", "col", F.lit(True).alias("k")), ["row", "col"], "left").select("row", "col", F.when(F.col("k"), F.col("v")).alias("b1"))
+        assert found.count() == 150_000 and found.exceptAll(want).count() == 0
+        with open(path, "a") as file:
+            file.write("7\n")
+        with pytest.raises(tiff.NotARaster, match="150001 values"):
+            grids.read_ascii(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_ascii_query_collects_no_pixels(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    most, real = [0], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: (out := real(self), most.append(len(out)))[0])
+    df = queries.QUERIES["file_ascii_grid"](spark, SMALL)
+    assert max(most) < 100 and isinstance(df, DataFrame) and df.count() == 500 * 64
