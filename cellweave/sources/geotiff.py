@@ -3,7 +3,7 @@
 `format("geotiff")` reads files that executors can open, block by block: a partition
 is a run of blocks, and filters on row and col skip the blocks they exclude.
 `read_files` takes any store that Spark reads, a file to a task. The sink compresses
-tiles on the executors and streams them in order into one file.
+tiles on the executors, all tasks at once, and streams them into one file.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from cellweave.operators.geometric import Grid
 from cellweave.sources import tiff
 from cellweave.sources.listing import empty_files
+from cellweave.sources.tables import stored
 
-#: Blocks of one partition.
-BLOCKS = 16
+#: Blocks of one partition, and pixels up to which small blocks make it more.
+BLOCKS, PIXELS = 16, 1 << 18
 
 
 def spark_type(dtype: str) -> T.DataType:
@@ -98,7 +99,8 @@ class GeoTiffReader(DataSourceReader):
             rows = range(max(0, self.low["row"] // h.block[0]), min(down, self.high["row"] // h.block[0] + 1))
             cols = range(max(0, self.low["col"] // h.block[1]), min(across, self.high["col"] // h.block[1] + 1))
             wanted = [r * across + c for r in rows for c in cols]
-            runs += [Run(path, wanted[i : i + BLOCKS]) for i in range(0, len(wanted), BLOCKS)]
+            n = max(BLOCKS, PIXELS // (h.block[0] * h.block[1]))
+            runs += [Run(path, wanted[i : i + n]) for i in range(0, len(wanted), n)]
         return runs or [Run("", [])]
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
@@ -255,8 +257,8 @@ def write_raster(pixels: DataFrame, path: str, header: tiff.Header, bands: Seque
     encoded = placed.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(encode, "tile long, data binary")
     temporary = f"{path}.partial"
     try:
-        with open(temporary, "wb") as file:
-            tiff.write(file, h, ((r["tile"], bytes(r["data"])) for r in encoded.toLocalIterator()))
+        with stored(encoded) as table, open(temporary, "wb") as file:
+            tiff.write(file, h, ((r["tile"], bytes(r["data"])) for r in table.toLocalIterator()))
         os.replace(temporary, path)
     finally:
         if os.path.exists(temporary):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators.geometric import Grid
 from cellweave.sources import geotiff, tiff
-from cellweave.sources.tables import shared_folder
+from cellweave.sources.tables import stored
 
 # ---------------------------------------------------------------- ASCII grids
 
@@ -138,15 +137,11 @@ def write_ascii(pixels: DataFrame, path: str, grid: Grid, band: str, nodata: flo
     # a run without any pixel is written as well
     every = spark.range(runs).select((F.col("id") * per).cast("int").alias("row"), F.lit(0).alias("col"), F.lit(None).cast("double").alias("v"))
     cells = rows.where(whole).unionByName(every).select("*", F.floor(F.col("row") / per).cast("int").alias("run"))
-    stored = f"{shared_folder(spark)}/cellweave-{uuid.uuid4().hex}"
     encoded = cells.groupBy("run").applyInArrow(encode, "run int, n long, text binary")
     partial = f"{path}.partial"
     try:
-        # a group isn't split over files, and a file holds few of them
-        encoded.write.option("maxRecordsPerFile", 8).option("compression", "none").parquet(stored)
-        table = spark.read.schema("run int, n long, text binary").parquet(stored)
-        sizes = dict(table.select("run", "n").toLocalIterator())
-        with open(partial, "wb") as file:
+        with stored(encoded, 8) as table, open(partial, "wb") as file:
+            sizes = dict(table.select("run", "n").toLocalIterator())
             file.write(f"ncols {grid.width}\nnrows {grid.height}\nxllcorner {grid.x}\nyllcorner {grid.y + grid.height * grid.dy}\ncellsize {grid.dx}\nNODATA_value {nodata:g}\n".encode())
             begins = np.cumsum([file.tell(), *(sizes[i] for i in range(runs))])
             for r in table.select("run", "text").toLocalIterator():
@@ -156,8 +151,6 @@ def write_ascii(pixels: DataFrame, path: str, grid: Grid, band: str, nodata: flo
     finally:
         if os.path.exists(partial):
             os.unlink(partial)
-        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored)
-        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 # ---------------------------------------------------------------- virtual mosaics

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,19 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+@contextlib.contextmanager
+def stored(df: DataFrame, records: int = 0) -> Iterator[DataFrame]:
+    """The rows that all tasks have written at once to a table in the shared folder, for a driver that then takes them one by one. The table goes at the end."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/cellweave-{uuid.uuid4().hex}"
+    try:
+        df.write.option("maxRecordsPerFile", records).option("compression", "none").parquet(place)
+        yield spark.read.schema(df.schema).parquet(place)
+    finally:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def save_raster(pixels: DataFrame, name: str, buckets: int, keys: Sequence[str] = ("row", "col"), mode: str = "errorifexists") -> None:
     """A table bucketed and sorted by the keys that aligned rasters are joined on."""
     pixels.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

@@ -106,3 +106,21 @@ def test_ascii_query_collects_no_pixels(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: (out := real(self), most.append(len(out)))[0])
     df = queries.QUERIES["file_ascii_grid"](spark, SMALL)
     assert max(most) < 100 and isinstance(df, DataFrame) and df.count() == 500 * 64
+
+
+def test_tiles_are_encoded_by_all_tasks_at_once(spark, tmp_path, monkeypatch):
+    """What the driver takes one by one is already made; small blocks don't make a task each."""
+    from cellweave.sources import geotiff, tiff, tiles
+
+    plans, kind = [], type(spark.range(1))
+    real = kind.toLocalIterator
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, *a, **b: (plans.append(self._jdf.queryExecution().executedPlan().toString()), real(self, *a, **b))[1])
+    path = str(tmp_path / "a.tif")
+    cells = spark.range(64 * 8192).select((F.col("id") / 64).cast("int").alias("row"), (F.col("id") % 64).cast("int").alias("col"), (F.col("id") % 251).cast("int").alias("v"))
+    geotiff.write_raster(cells, path, tiff.Header(64, 8192, "uint8", 1, compression=8, block=(32, 32)), ["v"])
+    found = geotiff.read_local(spark, path)
+    assert found.rdd.getNumPartitions() == 2
+    assert found.select("row", "col", F.col("b1").alias("v")).exceptAll(cells).count() == 0 and found.count() == 64 * 8192
+    one = cells.where("row < 64").withColumns({"zoom": F.lit(1), "tile_column": F.lit(0), "tile_row": F.lit(0)})
+    tiles.write_mbtiles(tiles.encode_tiles(one, ["v"]), str(tmp_path / "a.mbtiles"), {})
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
